@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Keep(dict):
@@ -41,7 +42,7 @@ def normalize_py(v: str | None) -> str | None:
     return " ".join(v.lower().translate(_keep).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_target(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column form of :func:`normalize_py`; null stays null."""
     for s in parts:
