@@ -41,3 +41,44 @@ def p1_split_report(spark: SparkSession, d: str) -> DataFrame:
 
     r = table(spark, d, "records")
     return split_report(balanced_split(r), r)
+
+
+# -- 2: visually identical text with different characters
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.lookalike import lookalike_pairs
+
+    return lookalike_pairs(table(spark, d, "records"))
+
+
+@query
+def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.lookalike import consistent_values
+
+    return consistent_values(table(spark, d, "records")).select("field", "ord", "form", "changed")
+
+
+# -- 3: same or near-same records across splits
+
+
+def _affected(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lapidary.llm.cross_split import affected
+
+    parts = table(spark, d, "split_parts").where((F.col("scheme") == "random") & (F.col("tag") == "v1"))
+    return affected(table(spark, d, "records"), parts)
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _affected(spark, d).select("field", "ord").distinct()
+
+
+@query
+def p3_overlap_report(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.cross_split import overlap_report
+
+    return overlap_report(_affected(spark, d))
