@@ -82,3 +82,20 @@ def p3_overlap_report(spark: SparkSession, d: str) -> DataFrame:
     from lapidary.llm.cross_split import overlap_report
 
     return overlap_report(_affected(spark, d))
+
+
+# -- 5: near-duplicate records with small edits
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.near_dup import similar_records
+
+    return similar_records(table(spark, d, "records"))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.near_dup import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, d, "records"))
