@@ -99,3 +99,20 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     from lapidary.llm.near_dup import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, d, "records"))
+
+
+# -- 7: frequency of every distinct value or term
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.term_counts import term_frequencies
+
+    return term_frequencies(table(spark, d, "records")).where("mark is not null").select("field", "term", "mark")
+
+
+@query
+def p7_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.term_counts import term_frequencies
+
+    return term_frequencies(table(spark, d, "records"))
