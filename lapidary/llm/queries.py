@@ -116,3 +116,20 @@ def p7_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     from lapidary.llm.term_counts import term_frequencies
 
     return term_frequencies(table(spark, d, "records"))
+
+
+# -- 8: evaluation texts leaking into training text
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.leakage import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_leak_report(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.leakage import leak_report
+
+    return leak_report(p8_found(spark, d), table(spark, d, "documents"))
