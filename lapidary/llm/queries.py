@@ -133,3 +133,39 @@ def p8_leak_report(spark: SparkSession, d: str) -> DataFrame:
     from lapidary.llm.leakage import leak_report
 
     return leak_report(p8_found(spark, d), table(spark, d, "documents"))
+
+
+# -- 10: long exact spans shared between records
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.shared_spans import sharing_documents
+
+    return sharing_documents(table(spark, d, "documents"))
+
+
+# -- 4: token budget per source and language
+
+
+@query
+def p4_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.tokens import all_texts, unigram_counter, with_tokens
+
+    texts = all_texts(table(spark, d, "records"), table(spark, d, "documents"), table(spark, d, "corpora"))
+    return with_tokens(texts, "text", unigram_counter(table(spark, d, "tokenizer_pieces")))
+
+
+@query
+def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.tokens import token_cube
+
+    return token_cube(p4_token_counts(spark, d))
+
+
+@query
+def p4_bpe_token_counts(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    from lapidary.llm.tokens import BPE_PATTERN, all_texts, bpe_counter, with_tokens
+
+    texts = all_texts(table(spark, d, "records"), table(spark, d, "documents"), table(spark, d, "corpora"))
+    return with_tokens(texts, "text", bpe_counter(vocabulary, BPE_PATTERN))
