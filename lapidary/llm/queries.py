@@ -169,3 +169,24 @@ def p4_bpe_token_counts(spark: SparkSession, d: str, vocabulary: str = "/opt/tok
 
     texts = all_texts(table(spark, d, "records"), table(spark, d, "documents"), table(spark, d, "corpora"))
     return with_tokens(texts, "text", bpe_counter(vocabulary, BPE_PATTERN))
+
+
+# -- 9: mixing sources to target weights
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from lapidary.llm.mixing import mixture
+    from lapidary.llm.tokens import unigram_counter, with_tokens
+
+    sized = with_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text", unigram_counter(table(spark, d, "tokenizer_pieces")))
+    return mixture(sized, table(spark, d, "mix_targets"))
+
+
+@query
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
