@@ -20,3 +20,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "records").groupBy("corpus").count()
+
+
+# -- messages delivered more than once
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.operators.messages import surplus_deliveries
+
+    return surplus_deliveries(table(spark, d, "run_records"))

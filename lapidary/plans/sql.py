@@ -1,3 +1,11 @@
 """SQL equivalents of the queries."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": """
+        WITH m AS (
+          SELECT delivery_id, row_number() OVER (
+            PARTITION BY lower(trim(run_id, E' \\t\\n\\r')), lower(trim(status, E' \\t\\n\\r')), floor(epoch(CAST(completed_at AS TIMESTAMPTZ)))
+            ORDER BY received_at, delivery_id) AS n
+          FROM run_records)
+        SELECT delivery_id FROM m WHERE n > 1""",
+}
