@@ -190,3 +190,17 @@ def p9_selection(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
+
+
+@query
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.shared_spans import shared_stretches
+
+    return shared_stretches(table(spark, d, "documents"))
+
+
+@query
+def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    from lapidary.llm.shared_spans import shared_share
+
+    return shared_share(table(spark, d, "documents"))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lapidary.session import stage
@@ -148,14 +149,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-_ROWS = "key long, key2 long, doc_id long, place int, near string, crowded boolean"
+_ROWS = "key long, doc_id long, at int, place int, near string, crowded boolean"
+
+
+def periodic(window: str) -> bool:
+    """The window repeats itself after at most half its length, so it may stand at many neighbouring places of one text."""
+    d = window.find(window[: WINDOW // 2], 1)
+    while 0 < d <= WINDOW // 2:
+        if window[d:] == window[: len(window) - d]:
+            return True
+        d = window.find(window[: WINDOW // 2], d + 1)
+    return False
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> windows estimated in two documents or more, with the text around them."""
     table = np.frombuffer(shared.value, np.uint8).reshape(2, CELLS)
     for b in batches:
-        keys, docs, places, near, crowded = [], [], [], [], []
+        keys, docs, ats, places, near, crowded = [], [], [], [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             codes = _codes(text)
             h = rolling(codes, WINDOW)
@@ -167,27 +178,31 @@ def _repeated(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             at, n = at[n > 1], n[n > 1]
             if not len(at):
                 continue
-            span = None
+            wide: set[int] = set()
             for p, c in zip(at.tolist(), n.tolist()):
-                if c <= CROWD:
+                if c <= CROWD and not periodic(text[p : p + WINDOW]):
                     lo = max(0, p - STEP)
                     keys.append(h[p])
                     docs.append(doc)
+                    ats.append(p)
                     places.append(p - lo)
                     near.append(text[lo : p + WINDOW + STEP - 1])
                     crowded.append(False)
                     continue
-                span = rolling(codes, SPAN) if span is None else span
-                a, z = max(0, p - STEP + 1), min(p, len(codes) - SPAN)
-                for q in range(a, z + 1):
+                wide.update(range(max(0, p - STEP + 1), min(p, len(codes) - SPAN) + 1))
+            if wide:
+                span = rolling(codes, SPAN)
+                for q in sorted(wide):
                     keys.append(span[q])
                     docs.append(doc)
+                    ats.append(q)
                     places.append(0)
                     near.append(hashlib.md5(text[q : q + SPAN].encode("utf-8", "surrogatepass")).hexdigest())
                     crowded.append(True)
         k = np.array(keys, np.uint64).view(np.int64) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(near, pa.string()), pa.array(crowded, pa.bool_())], names=["key", "doc_id", "place", "near", "crowded"]
+            [pa.array(k), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(places, pa.int32()), pa.array(near, pa.string()), pa.array(crowded, pa.bool_())],
+            names=["key", "doc_id", "at", "place", "near", "crowded"],
         )
 
 
@@ -206,23 +221,72 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def first_of_stretch(x: str, px: int, y: str, py: int) -> bool:
-    """The common stretch around the windows at px, py reaches SPAN, and no earlier window of it can be chosen."""
+def extent(x: str, px: int, y: str, py: int) -> tuple[int, int] | None:
+    """How far the common stretch reaches to both sides of the windows at px, py, as far as the texts go; None if it stays below SPAN."""
     if x[px : px + WINDOW] != y[py : py + WINDOW]:
-        return False
-    left = _common(x[:px][::-1], y[:py][::-1])
-    return left < STEP and left + WINDOW + _common(x[px + WINDOW :], y[py + WINDOW :]) >= SPAN
+        return None
+    left, right = _common(x[:px][::-1], y[:py][::-1]), _common(x[px + WINDOW :], y[py + WINDOW :])
+    return (left, right) if left + WINDOW + right >= SPAN else None
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> (a, b) of documents with a common stretch."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by key -> per key its distinct surroundings ``((doc, place, near), places in the document)``.
+
+    A thin window is in CROWD documents at most, since the sketch never
+    underestimates; a document that holds it often, with the same text around,
+    counts once.
+    """
+    key, held = None, {}
     for b in batches:
-        out_a, out_b = [], []
-        for da, pa_, na, db, pb, nb in zip(*(c.to_pylist() for c in b.columns)):
-            if first_of_stretch(na, pa_, nb, pb):
-                out_a.append(da)
-                out_b.append(db)
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        for k, doc, at, place, near in zip(*(c.to_pylist() for c in b.columns)):
+            if k != key:
+                if len(held) > 1:
+                    yield list(held.items())
+                key, held = k, {}
+            held.setdefault((doc, place, near), []).append(at)
+    if len(held) > 1:
+        yield list(held.items())
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> (a, b) of documents with a common stretch, once per stretch: at its first window."""
+    a, b = [], []
+
+    def out():
+        r = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear(), b.clear()
+        return r
+
+    for rows in _runs(batches):
+        for i, ((da, pa_, na), _) in enumerate(rows):
+            for (db, pb, nb), _ in rows[i + 1 :]:
+                if da != db and (e := extent(na, pa_, nb, pb)) and e[0] < STEP:
+                    a.append(min(da, db))
+                    b.append(max(da, db))
+        if len(a) > 4096:
+            yield out()
+    yield out()
+
+
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key -> (doc_id, start, end): the widest stretch around each window that another document shares."""
+    doc, lo, hi = [], [], []
+
+    def out():
+        r = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["doc_id", "start", "end"])
+        doc.clear(), lo.clear(), hi.clear()
+        return r
+
+    for rows in _runs(batches):
+        for (da, pa_, na), places in rows:
+            found = {e for (db, pb, nb), _ in rows if da != db and (e := extent(na, pa_, nb, pb))}
+            for left, right in found:
+                doc += [da] * len(places)
+                lo += [at - left for at in places]
+                hi += [at + WINDOW + right for at in places]
+        if len(doc) > 4096:
+            yield out()
+    yield out()
 
 
 def merged_sketch(documents: DataFrame) -> bytes:
@@ -246,23 +310,24 @@ def copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.join(surplus, "doc_id", "left_anti"), surplus
 
 
-def shared_pairs(documents: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: distinct texts, each by its least doc_id, with a common stretch of SPAN code points."""
-    return _shared(*copies(documents))
+def repeated_windows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(thin, spans)``: windows of few documents sorted by key, and the spans around crowded ones that stand in two documents or more."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(merged_sketch(texts))
+    rows = stage(texts.select("doc_id", "text").mapInArrow(lambda it: _repeated(it, shared), _ROWS), "windows")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    thin = rows.where("not crowded").select("key", "doc_id", "at", "place", "near").repartition(n, "key").sortWithinPartitions("key")
+    spans = rows.where("crowded").select("key", "near", "doc_id", "at")
+    held = spans.groupBy("key", "near").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "near")
+    return thin, spans.join(held, ["key", "near"], "left_semi")
 
 
-def _shared(texts: DataFrame, surplus: DataFrame) -> DataFrame:
-    sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast(merged_sketch(texts))
-    rows = stage(texts.select("doc_id", "text").mapInArrow(lambda it: _repeated(it, shared), "key long, doc_id long, place int, near string, crowded boolean"), "windows")
-    thin = rows.where("not crowded").select("key", "doc_id", "place", "near")
-    x, y = thin.toDF("key", "da", "pa", "na"), thin.toDF("key", "db", "pb", "nb")
-    near = x.join(y, "key").where("da < db").select("da", "pa", "na", "db", "pb", "nb").mapInArrow(_pairs, "a long, b long")
-    spans = rows.where("crowded").select("key", "near", "doc_id").distinct()
-    held = spans.groupBy("key", "near").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "near")
-    spans = spans.join(held, ["key", "near"], "left_semi")
+def shared_pairs(texts: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, of distinct texts with a common stretch of SPAN code points."""
+    thin, spans = repeated_windows(texts)
+    spans = spans.select("key", "near", "doc_id").distinct()
     far = spans.toDF("key", "near", "a").join(spans.toDF("key", "near", "b"), ["key", "near"]).where("a < b").select("a", "b")
-    return near.unionByName(far).distinct()
+    return thin.mapInArrow(_pairs, "a long, b long").unionByName(far).distinct()
 
 
 def sharing_documents(documents: DataFrame) -> DataFrame:
@@ -273,7 +338,7 @@ def sharing_documents(documents: DataFrame) -> DataFrame:
     """
     texts, surplus = copies(documents)
     surplus = stage(surplus, "surplus")
-    links = stage(_shared(texts, surplus), "links")
+    links = stage(shared_pairs(texts), "links")
     reps = surplus.select("rep").distinct()
     cls = surplus.unionByName(reps.select(F.col("rep").alias("doc_id"), "rep"))
     inside = cls.toDF("a", "rep").join(cls.toDF("b", "rep"), "rep").where("a < b").select("a", "b")
@@ -281,3 +346,31 @@ def sharing_documents(documents: DataFrame) -> DataFrame:
     across = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b"))
     both = across.unionByName(inside)
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+
+
+def shared_stretches(documents: DataFrame) -> DataFrame:
+    """``(doc_id, start, end)``: the maximal stretches of each document, of SPAN code points or more, that other documents hold too.
+
+    Stretches that overlap or touch are merged, so the lengths of a document's
+    rows add up to how much of it is shared.  A document with an exact copy is
+    shared as a whole.  Null and short texts have none.
+    """
+    texts, surplus = copies(documents)
+    thin, spans = repeated_windows(texts)
+    part = thin.mapInArrow(_extents, "doc_id long, start int, end int").unionByName(spans.select("doc_id", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end")))
+    twins = surplus.unionByName(surplus.select(F.col("rep").alias("doc_id"), "rep")).select("doc_id").distinct()
+    whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("start"), F.length("text").alias("end")).join(twins, "doc_id", "left_semi")
+    rows = part.join(twins, "doc_id", "left_anti").unionByName(whole).distinct()
+    w = W.partitionBy("doc_id").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = rows.withColumn("__before", before).withColumn("__new", F.when(F.col("__before").isNull() | (F.col("start") > F.col("__before")), 1).otherwise(0))
+    marked = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return marked.groupBy("doc_id", "__i").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__i")
+
+
+def shared_share(documents: DataFrame) -> DataFrame:
+    """``(doc_id, n_chars, n_stretches, shared_chars, share)`` of every document; an empty or null text has share 0."""
+    s = shared_stretches(documents).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("c"))
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars")).join(s, "doc_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return d.select("doc_id", "n_chars", zero("n").alias("n_stretches"), zero("c").alias("shared_chars"), F.round(F.coalesce(F.try_divide(F.col("c"), F.col("n_chars")), F.lit(0.0)), 6).alias("share"))
