@@ -77,7 +77,7 @@ def period_bucket(col: Column | str) -> Column:
     """Century of a year string, floored (``c-16`` for -1580); anything else is ``unknown``."""
     c = F.col(col) if isinstance(col, str) else col
     year = F.regexp_extract(F.trim(c), r"^[+-]?\d{1,9}$", 0).try_cast("int")
-    return F.coalesce(F.format_string("c%+d", F.floor(year / 100).cast("int")), F.lit("unknown"))
+    return F.when(year.isNotNull(), F.format_string("c%+d", F.floor(year / 100).cast("int"))).otherwise("unknown")
 
 
 def encipher(col: Column | str, key: dict[str, str]) -> Column:

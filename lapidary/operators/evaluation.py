@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import string
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,32 +129,49 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, doc: str = "doc_id", n_boo
 # -- translation metrics (Popović 2015, Papineni et al. 2002)
 
 
-def _grams(tokens: Column, n: int, sep: str) -> Column:
-    """n-grams of an array of tokens."""
-    k = F.size(tokens) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda i: F.array_join(F.slice(tokens, i + 1, n), sep))).otherwise(F.array().cast("array<string>"))
+def _counted(h: list[str], r: list[str], n: int) -> tuple[int, int, int]:
+    """Matched, hypothesis and reference n-grams."""
+    a, b = (Counter(zip(*(t[i:] for i in range(n)))) for t in (h, r))
+    return sum((a & b).values()), sum(a.values()), sum(b.values())
+
+
+def _gram_stats(pairs: DataFrame, sides: list[tuple[str, Callable[[str], list[str]], int]]) -> DataFrame:
+    """``(id, kind, n, m, h, r)`` per sentence, kind and order; no n-gram leaves its task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for i, hyp, ref in zip(pdf["id"], pdf["hyp"], pdf["ref"]):
+                for kind, cut, orders in sides:
+                    h, r = cut(hyp or ""), cut(ref or "")
+                    rows += [(i, kind, n, *_counted(h, r, n)) for n in range(1, orders + 1)]
+            yield pd.DataFrame(rows, columns=["id", "kind", "n", "m", "h", "r"])
+
+    return pairs.select(F.col("id").cast("long").alias("id"), "hyp", "ref").mapInPandas(run, "id long, kind string, n int, m long, h long, r long")
 
 
-def _gram_stats(pairs: DataFrame, h: Column, r: Column, n: int, sep: str) -> DataFrame:
-    """Per sentence: matches, hypothesis and reference n-grams of order n."""
-    both = pairs.select("id", F.explode(F.concat(F.transform(_grams(h, n, sep), lambda g: F.struct(g.alias("g"), F.lit(1).alias("h"), F.lit(0).alias("r"))), F.transform(_grams(r, n, sep), lambda g: F.struct(g.alias("g"), F.lit(0).alias("h"), F.lit(1).alias("r"))))).alias("x"))
-    c = both.groupBy("id", F.col("x.g").alias("g")).agg(F.sum("x.h").alias("h"), F.sum("x.r").alias("r"))
-    return c.groupBy("id").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).withColumn("n", F.lit(n))
+def _chars(t: str) -> list[str]:
+    return list("".join(t.split()))
 
 
-def chrf_stats(pairs: DataFrame, hypothesis: str = "hyp", reference: str = "ref", orders: int = 6, word_orders: int = 0) -> DataFrame:
-    """``(id, kind, n, m, h, r)``: matched, hypothesis and reference n-grams per sentence and order."""
-    out = None
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.col(c), r"(?U)\s+", ""), ""), lambda x: x != "")
-    for n in range(1, orders + 1):
-        s = _gram_stats(pairs, chars(hypothesis), chars(reference), n, "").withColumn("kind", F.lit("c"))
-        out = s if out is None else out.unionByName(s)
-    word = lambda c: F.filter(F.split(F.regexp_replace(F.col(c), r"(\p{Punct})", " $1 "), r"(?U)\s+"), lambda x: x != "")
-    for n in range(1, word_orders + 1):
-        out = out.unionByName(_gram_stats(pairs, word(hypothesis), word(reference), n, " ").withColumn("kind", F.lit("w")))
+def _words(t: str) -> list[str]:
+    """Words with one punctuation mark at either end taken off as a word."""
+    out = []
+    for w in t.split():
+        if len(w) > 1 and w[-1] in string.punctuation:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in string.punctuation:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
     return out
 
 
+def chrf_stats(pairs: DataFrame, orders: int = 6, word_orders: int = 0) -> DataFrame:
+    """Statistics of ``pairs(id, hyp, ref)`` for characters and, with ``word_orders``, words; null texts are empty."""
+    return _gram_stats(pairs, [("c", _chars, orders)] + ([("w", _words, word_orders)] if word_orders else []))
+
+
 def _f_score(stats: DataFrame, by: list[str], beta: float = 2.0) -> DataFrame:
     """Mean precision and recall over the orders that both sides have, then F-beta, times 100."""
     per = stats.groupBy(*by, "kind", "n").agg(F.sum("m").alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 and r > 0")
@@ -169,31 +191,28 @@ def sentence_chrf(pairs: DataFrame, word_orders: int = 0) -> DataFrame:
     return pairs.select("id").distinct().join(s, "id", "left").select("id", F.coalesce("chrf", F.lit(0.0)).alias("chrf"))
 
 
-def tokens_13a(col: Column) -> Column:
+# fixed values: how the standard evaluation scripts set punctuation apart
+_APART = [(re.compile(p), r) for p, r in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 "))]
+
+
+def tokens_13a(t: str) -> list[str]:
     """Tokens of the standard evaluation scripts: punctuation apart, periods and commas kept inside numbers."""
-    c = F.regexp_replace(col, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    c = F.regexp_replace(c, r"([^0-9])([\.,])", "$1 $2 ")
-    c = F.regexp_replace(c, r"([\.,])([^0-9])", " $1 $2")
-    c = F.regexp_replace(c, r"([0-9])(-)", "$1 $2 ")
-    return F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
+    t = f" {t.strip()} "
+    for p, r in _APART:
+        t = p.sub(r, t)
+    return t.split()
 
 
 def corpus_bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:
-    """BLEU of ``pairs(id, hyp, ref)``: summed clipped n-gram precisions, brevity penalty, exponential smoothing of empty orders."""
-    h, r = tokens_13a(F.col("hyp")), tokens_13a(F.col("ref"))
-    out = None
-    for n in range(1, max_order + 1):
-        s = _gram_stats(pairs, h, r, n, " ")
-        out = s if out is None else out.unionByName(s)
-    per = out.groupBy("n").agg(F.sum("m").alias("m"), F.sum("h").alias("h"))
-    lens = pairs.agg(F.sum(F.size(h)).alias("hl"), F.sum(F.size(r)).alias("rl"))
+    """BLEU of ``pairs(id, hyp, ref)``: summed clipped n-gram precisions, brevity penalty, exponential smoothing of orders without a match."""
+    per = _gram_stats(pairs, [("b", tokens_13a, max_order)]).groupBy("n").agg(*[F.sum(c).alias(c) for c in ("m", "h", "r")])
     zeros = F.sum((F.col("m") == 0).cast("int")).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0))  # max_order rows
-    per = per.where("h > 0").withColumn("z", zeros)
-    p = per.withColumn("lp", F.when(F.col("m") > 0, F.ln(F.col("m") / F.col("h"))).otherwise(F.ln(1 / (F.pow(F.lit(2.0), "z") * F.col("h")))))
-    logs = p.agg(F.sum("lp").alias("lp"), F.count("*").alias("k"), F.sum("m").alias("m"))
+    p = per.where("h > 0").withColumn("z", zeros)
+    p = p.withColumn("lp", F.when(F.col("m") > 0, F.ln(F.col("m") / F.col("h"))).otherwise(F.ln(1 / (F.pow(F.lit(2.0), "z") * F.col("h")))))
+    one = F.col("n") == 1
+    s = p.agg(F.sum("lp").alias("lp"), F.count("*").alias("k"), F.sum("m").alias("m"), F.max(F.when(one, F.col("h"))).alias("hl"), F.max(F.when(one, F.col("r"))).alias("rl"))
     bp = F.when(F.col("hl") >= F.col("rl"), 0.0).otherwise(1 - F.col("rl") / F.col("hl"))
-    score = F.when((F.col("m") > 0) & (F.col("k") == max_order), 100 * F.exp(F.col("lp") / max_order + bp)).otherwise(0.0)
-    return logs.crossJoin(lens).select(score.alias("bleu"))
+    return s.select(F.when((F.col("m") > 0) & (F.col("k") == max_order), 100 * F.exp(F.col("lp") / max_order + bp)).otherwise(0.0).alias("bleu"))
 
 
 def collect_ranked(pdf: pd.DataFrame) -> pd.DataFrame:

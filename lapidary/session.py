@@ -89,7 +89,7 @@ def ranked_within(df: DataFrame, groups: list[str], order: list[str], name: str
     reproducible result; ties are numbered in any order.  Nulls form one group.
     """
     keys = [*groups, *order]
-    at = "__at"
+    at = "__rw_at"
     rows = stage(
         df.repartitionByRange(*[F.col(k) for k in keys])
         .sortWithinPartitions(*keys)
@@ -97,17 +97,17 @@ def ranked_within(df: DataFrame, groups: list[str], order: list[str], name: str
         "ranked",
     )
     part = F.shiftright(F.col(at), 33)
-    runs = rows.groupBy(*groups, part.alias("__p")).agg(F.min(at).alias("__first"), F.count("*").alias("__n"))
+    runs = rows.groupBy(*groups, part.alias("__rw_p")).agg(F.min(at).alias("__rw_first"), F.count("*").alias("__rw_n"))
     # few rows: groups + partitions; an expanding sum per group
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(*groups).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    left, right = rows.withColumn("__p", part), runs.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__p").alias("__q"), "__first", "__off"
+    w = W.partitionBy(*groups).orderBy("__rw_p").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("__rw_off", F.coalesce(F.sum("__rw_n").over(w), F.lit(0)))
+    left, right = rows.withColumn("__rw_p", part), runs.select(
+        *[F.col(g).alias(f"__rw_g{i}") for i, g in enumerate(groups)], F.col("__rw_p").alias("__rw_q"), "__rw_first", "__rw_off"
     )
-    cond = F.col("__p") == F.col("__q")
+    cond = F.col("__rw_p") == F.col("__rw_q")
     for i, g in enumerate(groups):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    out = left.join(right, cond).withColumn(name, F.col(at) - F.col("__first") + F.col("__off"))
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__rw_g{i}"))
+    out = left.join(right, cond).withColumn(name, F.col(at) - F.col("__rw_first") + F.col("__rw_off"))
     return out.select(*df.columns, name)
