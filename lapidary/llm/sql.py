@@ -1,3 +1,17 @@
-"""SQL equivalents of the queries SQL can express over whole tables."""
+"""SQL equivalents, in DuckDB's dialect, of the queries SQL can express over whole tables."""
 
-SQL: dict[str, str] = {}
+# fixed values: Unicode white space
+BLANK = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+TERMS = rf"""
+  v AS (SELECT ord, f AS field, fields[f] AS v FROM records, (SELECT unnest(['text', 'hieroglyphs']) AS f) WHERE fields[f] <> ''),
+  t AS (SELECT ord, field, unnest(CASE WHEN field = 'text' THEN list_filter(regexp_split_to_array(v, '{BLANK}+'), lambda w: w <> '')
+          ELSE list_concat(regexp_extract_all(v, '[\x{{13000}}-\x{{1345F}}]', 0), regexp_extract_all(v, '<g>([^<]+)</g>', 1)) END) AS term FROM v),
+  n AS (SELECT field, count(*) AS total FROM v GROUP BY 1),
+  c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT ord) AS records FROM t GROUP BY 1, 2),
+  m AS (SELECT field, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > total * CAST(0.1 AS DOUBLE) THEN 'common' END AS mark FROM c JOIN n USING (field))"""
+
+SQL: dict[str, str] = {
+    "p7_found": f"WITH {TERMS} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
+    "p7_term_frequencies": f"WITH {TERMS} SELECT field, term, occurrences, records, mark FROM m",
+}
