@@ -10,16 +10,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, app: str = "lapidary") -> SparkSession:
     """A local session with the settings the engine is tuned for."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -33,6 +36,20 @@ def local_session(cores: int = 8, app: str = "lapidary") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the executors, once per application, for workers that cannot import it from their own path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="lapidary-code-")  # on the driver; Spark distributes the file
+        with zipfile.ZipFile(f"{folder}/lapidary_code.zip", "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        sc.addPyFile(f"{folder}/lapidary_code.zip")
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder of this application under the shared checkpoint folder."""
     sc = spark.sparkContext
