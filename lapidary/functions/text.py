@@ -119,7 +119,7 @@ def is_test_path(col: Column | str, root: str | None = None) -> Column:
         at = F.array_position(parts, "data").cast("int")
         inside, below = at > 0, F.slice(parts, at + 1, F.size(parts))
     folder = F.array_contains(F.slice(below, 1, F.greatest(F.size(below) - 1, F.lit(0))), "test")
-    return F.coalesce(inside & (folder | F.element_at(below, -1).startswith("test.")), F.lit(False))
+    return F.coalesce(inside & (folder | F.try_element_at(below, F.lit(-1)).startswith("test.")), F.lit(False))
 
 
 def run_timestamp(col: Column | str) -> Column:
