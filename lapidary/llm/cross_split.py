@@ -33,6 +33,7 @@ from lapidary.session import stage
 FIELDS = ("translation_de", "text")
 BAND = 1.22  # ratio of neighbouring length bands: 1.1 / 0.9, so a text reaches two or three
 PASSAGES, TEXTS = 8_000, 20_000  # passages of an automaton and training texts of a chunk
+WORK = 1_000_000  # postings that are held at a time
 
 
 def pieces(n: int) -> list[tuple[int, int]]:
@@ -72,37 +73,45 @@ class Automaton:
         flat = np.array([y for x in at for y in x], np.int64).reshape(-1, 2)
         self.owner, self.start = flat[:, 0], flat[:, 1]
         n = np.array([len(t) for t in passages], np.int64)
-        self.k, self.need = n // 10, np.array([needed_coverage(x) for x in n.tolist()], np.int64)
+        self.size, self.k, self.need = n, n // 10, np.array([needed_coverage(x) for x in n.tolist()], np.int64)
 
-    def candidates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (text, passage) whose merged coverage suffices."""
+    def candidates(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (text, passage) whose merged coverage suffices, in blocks of bounded work."""
         hits = [(x, j, end - n + 1, n) for x, t in enumerate(texts) for end, (j, n) in self.a.iter(t)]
         if not hits:
-            z = np.zeros(0, np.int64)
-            return z, z
+            return
         h = np.array(hits, np.int64)
+        lens = np.array([len(t) for t in texts], np.int64)
+        work = np.cumsum(self.offset[h[:, 1] + 1] - self.offset[h[:, 1]])
+        lo = 0
+        while lo < len(h):  # whole texts until their postings exceed WORK; a single text may exceed it
+            hi = np.searchsorted(work, (work[lo - 1] if lo else 0) + WORK, side="right")
+            hi = np.searchsorted(h[:, 0], h[min(max(hi, lo + 1), len(h) - 1), 0], side="left") if hi < len(h) else len(h)
+            if hi <= lo:
+                hi = int(np.searchsorted(h[:, 0], h[lo, 0], side="right"))
+            yield self._covered(h[lo:hi], lens)
+            lo = hi
+
+    def _covered(self, h: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         many = self.offset[h[:, 1] + 1] - self.offset[h[:, 1]]
         row = np.repeat(np.arange(len(h)), many)
         post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.offset[h[row, 1]]
         owner, start = self.owner[post], self.start[post]
-        lens = np.array([len(t) for t in texts], np.int64)
-        ok = (np.abs(h[row, 2] - start) <= self.k[owner]) & (np.abs(lens[h[row, 0]] - self.n(owner)) <= self.k[owner])
+        ok = (np.abs(h[row, 2] - start) <= self.k[owner]) & (np.abs(lens[h[row, 0]] - self.size[owner]) <= self.k[owner])
         row, owner, start = row[ok], owner[ok], start[ok]
         # a piece counts once for a pair, however often it matched
-        key = (h[row, 0] * len(self.passages) + owner) * (1 << 20) + np.minimum(start, (1 << 20) - 1)
-        _, first = np.unique(key, return_index=True)
-        pair = key[first] >> 20
-        size = h[row[first], 3]
-        u, inv = np.unique(pair, return_inverse=True)
-        cover = np.bincount(inv, weights=size).astype(np.int64)
-        p = u % len(self.passages)
-        good = cover >= self.need[p]
-        return u[good] // len(self.passages), p[good]
-
-    def n(self, owner: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_n"):
-            self._n = np.array([len(t) for t in self.passages], np.int64)
-        return self._n[owner]
+        order = np.lexsort((start, owner, h[row, 0]))
+        text, owner, start, size = h[row, 0][order], owner[order], start[order], h[row, 3][order]
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] != start[:-1])
+        text, owner, size = text[new], owner[new], size[new]
+        pair = np.ones(len(text), bool)
+        pair[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1])
+        first = np.flatnonzero(pair)
+        cover = np.add.reduceat(size, first) if len(first) else size
+        text, owner = text[first], owner[first]
+        good = cover >= self.need[owner]
+        return text[good], owner[good]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,17 +134,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             auto = auto or Automaton(passages)
             for x in range(lo, hi, 256):
                 some = texts[x : min(hi, x + 256)]
-                t, p = auto.candidates(some)
-                for y in range(0, len(t), 4096):
-                    ps = p[y : y + 4096].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[i] for i in ps], pa.binary()),
-                            pa.array([passages[i] for i in ps], pa.string()),
-                            pa.array([some[i] for i in t[y : y + 4096].tolist()], pa.string()),
-                        ],
-                        names=["h", "passage", "train"],
-                    )
+                for t, p in auto.candidates(some):
+                    for y in range(0, len(t), 4096):
+                        ps = p[y : y + 4096].tolist()
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([ids[i] for i in ps], pa.binary()),
+                                pa.array([passages[i] for i in ps], pa.string()),
+                                pa.array([some[i] for i in t[y : y + 4096].tolist()], pa.string()),
+                            ],
+                            names=["h", "passage", "train"],
+                        )
 
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ class Index:
     """Block-max index of ``(item_id, words)``; items shorter than ``run`` words cannot leak and are left out."""
 
     def __init__(self, items: list[tuple[int, list[str]]], run: int) -> None:
-        self.run = run
+        self.run, self.passage = run, max(PASSAGE, run)
         items = sorted((w[:1], i, w) for i, w in items if len(w) >= run)  # similar items fall into one block
         self.ids = [i for _, i, _ in items]
         words = [w for *_, w in items]
@@ -95,9 +95,9 @@ class Index:
     def leaks(self, words: list[str]) -> list[int]:
         """Ids of the items that share a run with ``words``; passages overlap by run - 1 words, so no run is cut."""
         found: set[int] = set()
-        step = PASSAGE - self.run + 1
+        step = self.passage - self.run + 1
         for lo in range(0, max(len(words) - self.run + 1, 1), step):
-            part = words[lo : lo + PASSAGE]
+            part = words[lo : lo + self.passage]
             if len(part) < self.run:
                 break
             cand = [i for i in self.retrieve(part) if i not in found]

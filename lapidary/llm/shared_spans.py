@@ -108,14 +108,14 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(CELLS - 1)
+def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(cells - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     """(text) -> the partition's sketch in chunks; a window counts once per document."""
-    table = np.zeros((2, CELLS), np.uint8)
+    table = np.zeros((2, cells), np.uint8)
     any_ = False
     for b in batches:
         for text in b.column(0).to_pylist():
@@ -123,7 +123,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(h):
                 continue
             any_ = True
-            for row, cell in zip(table, _cells(np.unique(h))):
+            for row, cell in zip(table, _cells(np.unique(h), cells)):
                 cell, n = np.unique(cell, return_counts=True)
                 row[cell] = np.minimum(row[cell].astype(np.int64) + n, 255).astype(np.uint8)
     if any_:
@@ -162,9 +162,9 @@ def periodic(window: str) -> bool:
     return False
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], shared, crowd: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> windows estimated in two documents or more, with the text around them."""
-    table = np.frombuffer(shared.value, np.uint8).reshape(2, CELLS)
+    table = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
     for b in batches:
         keys, docs, ats, places, near, crowded = [], [], [], [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -173,14 +173,14 @@ def _repeated(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             at = chosen(h)
             if not len(at):
                 continue
-            x, y = _cells(h[at])
+            x, y = _cells(h[at], table.shape[1])
             n = np.minimum(table[0][x], table[1][y])
             at, n = at[n > 1], n[n > 1]
             if not len(at):
                 continue
             wide: set[int] = set()
             for p, c in zip(at.tolist(), n.tolist()):
-                if c <= CROWD and not periodic(text[p : p + WINDOW]):
+                if c <= crowd and not periodic(text[p : p + WINDOW]):
                     lo = max(0, p - STEP)
                     keys.append(h[p])
                     docs.append(doc)
@@ -292,11 +292,12 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def merged_sketch(documents: DataFrame) -> bytes:
     """The merged sketch of all partitions: 2 x CELLS bytes, whatever the data."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = documents.select("text").mapInArrow(_sketch, "chunk int, cells binary")
+    cells = CELLS
+    chunks = documents.select("text").mapInArrow(lambda it: _sketch(it, cells), "chunk int, cells binary")
     merged = chunks.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, cells binary")
-    out = bytearray(2 * CELLS)
-    for chunk, cells in merged.toLocalIterator():
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = cells
+    out = bytearray(2 * cells)
+    for chunk, part in merged.toLocalIterator():
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = part
     return bytes(out)
 
 
@@ -313,8 +314,8 @@ def copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_windows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(thin, spans)``: windows of few documents sorted by key, and the spans around crowded ones that stand in two documents or more."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(merged_sketch(texts))
-    rows = stage(texts.select("doc_id", "text").mapInArrow(lambda it: _repeated(it, shared), _ROWS), "windows")
+    shared, crowd = spark.sparkContext.broadcast(merged_sketch(texts)), CROWD
+    rows = stage(texts.select("doc_id", "text").mapInArrow(lambda it: _repeated(it, shared, crowd), _ROWS), "windows")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     thin = rows.where("not crowded").select("key", "doc_id", "at", "place", "near").repartition(n, "key").sortWithinPartitions("key")
     spans = rows.where("crowded").select("key", "near", "doc_id", "at")

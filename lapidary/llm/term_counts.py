@@ -39,7 +39,8 @@ TERMS: dict[str, Callable[[str], list[str]]] = {"hieroglyphs": signs, "text": st
 class BurstTrie:
     """Counters (occurrences, records) by term."""
 
-    def __init__(self) -> None:
+    def __init__(self, burst: int = BURST) -> None:
+        self.burst = burst
         self.root: dict = {}  # a leaf: rest -> [occurrences, records]; a node: {None: leaf of "", char: child}
         self.nodes: set[int] = set()
         self.size = 0
@@ -60,7 +61,7 @@ class BurstTrie:
         if x is None:
             at[rest] = [occurrences, records]
             self.size += 1
-            if len(at) > BURST and edge != "" and i < DEPTH:
+            if len(at) > self.burst and edge != "" and i < DEPTH:
                 self._burst(at, parent, edge)
         else:
             x[0] += occurrences
@@ -98,7 +99,7 @@ def _rows(field: str, leaves: Iterator[tuple[str, dict]]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["field", "prefix", "terms", "occurrences", "records"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], terms: dict[str, Callable[[str], list[str]]]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], terms: dict[str, Callable[[str], list[str]]], burst: int, most: int) -> Iterator[pa.RecordBatch]:
     """(field, value) -> leaves of this worker's tries, plus a row with prefix null: the number of non-empty values."""
     tries: dict[str, BurstTrie] = {}
     filled: Counter = Counter()
@@ -112,12 +113,12 @@ def _count(batches: Iterator[pa.RecordBatch], terms: dict[str, Callable[[str], l
                 occ.setdefault(field, Counter()).update(ts)
                 rec.setdefault(field, Counter()).update(set(ts))
         for field, o in occ.items():
-            t, r = tries.setdefault(field, BurstTrie()), rec[field]
+            t, r = tries.setdefault(field, BurstTrie(burst)), rec[field]
             for term, n in o.items():
                 t.add(term, n, r[term])
-            if t.size > HELD:
+            if t.size > most:
                 yield from _rows(field, t.leaves())
-                tries[field] = BurstTrie()
+                tries[field] = BurstTrie(burst)
     for field, t in tries.items():
         yield from _rows(field, t.leaves())
     for field, n in filled.items():
@@ -181,7 +182,8 @@ def term_frequencies(records: DataFrame, rare: int = 2, common: float = 0.1, ter
     terms = terms or TERMS
     spark = records.sparkSession
     long = records.select(F.explode(F.map_filter("fields", lambda k, v: k.isin(*terms) & (F.coalesce(v, F.lit("")) != ""))).alias("field", "value"))
-    leaves = stage(long.mapInArrow(lambda it: _count(it, terms), _LEAF), "tries")
+    burst, most = BURST, HELD
+    leaves = stage(long.mapInArrow(lambda it: _count(it, terms, burst, most), _LEAF), "tries")
     # a row per field
     filled = {r[0]: r[1] for r in leaves.where("prefix is null").groupBy("field").agg(F.sum(F.element_at("records", 1))).collect()}
     body = leaves.where("prefix is not null")
