@@ -38,15 +38,15 @@ def row_digest(*cols: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[text(c) for c in cols]), 256)
 
 
-def content_hash(df: DataFrame, key: str = "sent_id") -> str:
-    """Digest of a table whatever its files and partitions.
-
-    Rows are hashed, the hashes of one of 4096 buckets are sorted and hashed,
-    and so are the buckets' digests: no task holds all rows.
-    """
-    cols = []
-    for c, t in df.dtypes:
-        cols.append(F.sort_array(F.map_entries(c)).alias(c) if t.startswith("map<") else F.col(c))
-    d = df.select(*cols).select(row_digest(*df.columns).alias("h"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"))
-    buckets = d.groupBy(F.pmod(F.xxhash64("h"), F.lit(4096)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "k", "h"))), "\n"), 256).alias("d"))
-    return buckets.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.col("b").cast("string"), "d"))), "\n"), 256)).first()[0]
+def multiset_sums(digest: Column) -> list[Column]:
+    """Aggregates that identify a bag of 256-bit digests in any order: its size and the sums of four 64-bit parts, combined map-side."""
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return [F.count("*").cast("string").alias("n"), *[F.coalesce(x.cast("string"), F.lit("0")).alias(f"s{i}") for i, x in enumerate(parts)]]
+
+
+def content_hash(df: DataFrame) -> str:
+    """Digest of the rows of a table as a bag, whatever their order, files and partitions."""
+    cols = [F.sort_array(F.map_entries(c)).alias(c) if t.startswith("map<") else F.col(c) for c, t in df.dtypes]
+    names = sorted(df.columns)
+    row = df.select(*cols).agg(*multiset_sums(row_digest(*names))).first()
+    return hashlib.sha256("|".join([*names, *row]).encode()).hexdigest()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapidary.functions.hashing import order_key
+from lapidary.functions.hashing import multiset_sums, order_key
 from lapidary.functions.text import extract_signs, period_bucket
 from lapidary.session import ranked_within, stage
 
@@ -158,10 +158,9 @@ def split_by_document_count(pairs: DataFrame, ratios: dict[str, float], seed: in
 
 
 def split_version(split: DataFrame, ids: str = "sent_id") -> str:
-    """12 hex of the parts' sorted ids: sorted within buckets of the id's digest, then over buckets."""
-    b = split.groupBy("part", F.substring(F.sha2(F.col(ids).cast("string"), 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(ids).cast("string"))), "\n"), 256).alias("d"))
-    rows = sorted((r["part"], r["b"], r["d"]) for r in b.collect())  # at most 3 x 4096 rows
-    return hashlib.sha256("\n".join("|".join(r) for r in rows).encode()).hexdigest()[:12]
+    """12 hex of the bags of ids of the parts, combined map-side."""
+    rows = split.groupBy("part").agg(*multiset_sums(F.sha2(F.col(ids).cast("string"), 256))).collect()  # a row per part
+    return hashlib.sha256("\n".join(sorted("|".join(r) for r in rows)).encode()).hexdigest()[:12]
 
 
 def apply_scheme(scheme: str, records: DataFrame, meta: dict, seed: int = 1337, max_norm_dist: float = 0.1) -> tuple[DataFrame, DataFrame | None]:

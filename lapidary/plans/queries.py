@@ -497,3 +497,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from lapidary.operators.messages import surplus_deliveries
 
     return surplus_deliveries(table(spark, d, "run_records"))
+
+
+# -- end to end
+
+
+@query
+def m11_smoke(spark: SparkSession, d: str) -> DataFrame:
+    """The toy cipher, from generation to the ledger; it needs none of the tables."""
+    import uuid
+
+    from lapidary.plans.smoke import run_smoke
+    from lapidary.session import shared_root
+
+    r = run_smoke(spark, shared_root(spark).removeprefix("file://").removeprefix("file:") + f"/smoke-{uuid.uuid4().hex[:8]}")
+    return spark.createDataFrame([tuple(float(r[k]) for k in ("key_accuracy", "valid_accuracy", "test_accuracy"))], "key_accuracy double, valid_accuracy double, test_accuracy double")
+
+
+@query
+def r17_glyph_strips(spark: SparkSession, d: str) -> DataFrame:
+    """Synthetic glyph strips of the signs of a record, cut into windows."""
+    s = table(spark, d, "records").where(field("hieroglyphs").isNotNull()).select("ord", T.extract_signs(field("hieroglyphs")).alias("signs"))
+    return A.rendered(s, "signs").select("ord", F.size(A.strip_windows(F.col("strip"))).alias("n_windows"), F.round(A.ink_fraction(F.col("strip")), 9).alias("ink"))
