@@ -5,12 +5,13 @@ of it, n being its own length.  Candidates come from an equi-join that loses
 none: a training text is cut into disjoint chunks of q characters; k edits break
 k of them at most, so with k + 1 or more chunks one stands unchanged in the
 evaluation text, moved by k places at most.  Ids and digests are exploded, never
-texts, and a chunk that a third of all texts share is only paired where its place
-and length agree.
+texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,32 +19,58 @@ from lapidary.functions.text import normalize_target
 from lapidary.session import stage
 
 
-CHUNKS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 48, 64)
+BAND = 1.25  # ratio of neighbouring length bands
+
 
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
 
-def chunk_size(n: Column, d: float = 0.1) -> Column:
-    """Chunk length for an evaluation text of length n: a training text of n - k characters or more then has more than k chunks."""
-    k = F.floor(n * F.lit(d))
-    most = F.floor((n - k) / (k + 1)).cast("int")
-    return F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, CHUNKS)), lambda q: q <= most)), F.lit(1))
+
+def band_plan(most: int, d: float) -> list[tuple[int, int, int]]:
+    """``(band, q, w)`` for evaluation texts up to ``most`` characters: chunk length and width of a place bucket.
+
+    q is such that a training text of n - k characters or more has more than k
+    chunks, for every n of the band; (n - k) // (k + 1) rises with n but for
+    steps of 1 / d characters, so a few periods from the lower end suffice.
+    """
+    out, band = [], 0
+    while BAND**band <= most + 1:
+        lo, hi = max(1, int(BAND**band) - 1), int(BAND ** (band + 1)) + 1
+        ns = range(lo, min(hi, lo + int(20 / d)) + 1)
+        q = min((n - int(d * n)) // (int(d * n) + 1) for n in ns if n > 0)
+        out.append((band, max(1, q), max(8, int(d * BAND**band))))
+        band += 1
+    return out
 
 
 def near_pairs(evals: DataFrame, trains: DataFrame, d: float = 0.1) -> DataFrame:
-    """``evals(id, norm)`` and ``trains(id, norm)`` of distinct texts -> ``(id)`` of the evaluation texts with a near training text."""
-    n = F.length("norm")
-    e = evals.where(F.floor(n * F.lit(d)) > 0).select("id", "norm", n.alias("n"), F.floor(n * F.lit(d)).cast("int").alias("k"), chunk_size(n, d).alias("q"))
-    sizes = [r[0] for r in e.select("q").distinct().collect()]  # a handful of chunk lengths
-    if not sizes:
+    """``evals(id, norm)`` and ``trains(id, norm)`` of distinct texts -> ``(id)`` of the evaluation texts with a near training text.
+
+    The join key holds length band, place bucket and chunk, so a chunk that many
+    texts share meets only those where it stands in about the same place.
+    """
+    n, k = F.length("norm"), F.floor(F.length("norm") * F.lit(d)).cast("int")
+    most = evals.agg(F.max(n)).first()[0] or 0
+    plan = band_plan(most, d)  # a few dozen bands
+    e = evals.where(k > 0).select("id", "norm", n.alias("n"), k.alias("k"), _band(n).alias("band"))
+    if not plan:
         return e.select("id")
-    places = F.sequence(F.lit(0), F.col("n") - F.col("q"))
-    grams = e.select("id", "n", "k", "q", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.col("q"), F.substr("norm", i + 1, F.col("q"))))).alias("p", "g"))
-    t = trains.select("id", "norm", n.alias("tn"), F.explode(F.array(*[F.lit(q) for q in sizes])).alias("q")).where("tn >= q")
+    q_of, w_of = (F.create_map(*[x for row in plan for x in (F.lit(row[0]), F.lit(row[i]))]) for i in (1, 2))
+    q, w = F.try_element_at(q_of, F.col("band")), F.try_element_at(w_of, F.col("band"))
+    gram = lambda i: F.xxhash64(F.col("q"), F.substr("norm", i + 1, F.col("q")))
+    e = e.withColumn("q", q).withColumn("w", w).where("n >= q")
+    grams = e.select("id", "n", "k", "band", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q")), gram)).alias("p", "g"))
+    grams = grams.select("id", "n", "k", "band", "p", "g", F.floor(F.col("p") / F.col("w")).cast("int").alias("b"))
+    lo, hi = F.greatest(F.floor(n / (1 + d)), F.lit(1)), F.ceil(n / (1 - d)) + 1
+    t = trains.where(n > 0).select("id", "norm", n.alias("tn"), F.explode(F.sequence(_band(lo), _band(hi))).alias("band"))
+    t = t.withColumn("q", q).withColumn("w", w).where("tn >= q").withColumn("kt", (F.floor(F.col("tn") * d / (1 - d)) + 1).cast("int"))
     starts = F.sequence(F.lit(0), F.col("tn") - F.col("q"), F.col("q"))
-    chunks = t.select(F.col("id").alias("tid"), "tn", "q", F.explode(F.transform(starts, lambda i: F.struct(i.alias("tp"), F.xxhash64(F.col("q"), F.substr("norm", i + 1, F.col("q"))).alias("g")))).alias("c"))
-    chunks = chunks.select("tid", "tn", "c.tp", "c.g")
-    cand = grams.join(chunks, "g").where("abs(n - tn) <= k and abs(p - tp) <= k").select("id", "tid").distinct()
-    a, b = evals.select("id", F.col("norm").alias("a")), trains.select(F.col("id").alias("tid"), F.col("norm").alias("b"))
-    close = cand.join(a, "id").join(b, "tid").where(f"levenshtein(a, b, cast(floor(length(a) * {d!r}D) as int)) >= 0")
+    chunks = t.select(F.col("id").alias("tid"), "tn", "band", "kt", "w", F.explode(F.transform(starts, lambda i: F.struct(i.alias("tp"), gram(i).alias("g")))).alias("c"))
+    low, high = F.greatest(F.floor((F.col("c.tp") - F.col("kt")) / F.col("w")), F.lit(0)).cast("int"), F.floor((F.col("c.tp") + F.col("kt")) / F.col("w")).cast("int")
+    chunks = chunks.select("tid", "tn", "band", "c.tp", "c.g", F.explode(F.sequence(low, high)).alias("b"))
+    cand = grams.join(chunks, ["band", "b", "g"]).where("abs(n - tn) <= k and abs(p - tp) <= k").select("id", "tid").distinct()
+    x, y = evals.select("id", F.col("norm").alias("x")), trains.select(F.col("id").alias("tid"), F.col("norm").alias("y"))
+    close = cand.join(x, "id").join(y, "tid").where(f"levenshtein(x, y, cast(floor(length(x) * {d!r}D) as int)) >= 0")
     return close.select("id").distinct()
 
 
