@@ -50,7 +50,7 @@ CORPORA = {
         Corpus("tla_demotic", "parallel", "transliteration", "translation_de", "de", (*_BASE, "period_heldout"), _hosted("tla_demotic")),
         Corpus("coptic_scriptorium", "monolingual", "text", "translation_en", "en", _BASE, C.read_conllu),
         Corpus("hebrew_morphhb", "monolingual", "text", None, None, _BASE, C.read_osis),
-        Corpus("ugaritic_hebrew_cognates", "cognate_pairs", "src", None, None, (), lambda s, r: C.read_cognates(s, f"{r}/uga-heb.no_spe.cog", "ugaritic_hebrew_cognates", "ugaritic", "hebrew")),
+        Corpus("ugaritic_hebrew_cognates", "cognate_pairs", "src", None, None, (), lambda s, r: C.read_cognates(s, f"{r}/uga-heb.no_spe.cog", "ugaritic_hebrew_cognates", "uga", "heb")),
         Corpus("linearb_greek_cognates", "cognate_pairs", "src", None, None, (), lambda s, r: C.read_cognates(s, f"{r}/linear_b-greek.cog", "linearb_greek_cognates", "linear_b", "greek")),
         Corpus("logogram_nlp", "inventory", None),
         Corpus("logogram_egy", "parallel", "image", "translation_en", "en", _BASE, lambda s, r: C.read_image_entries(s, r)[0]),
