@@ -155,16 +155,36 @@ def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: i
                 k, r, n = k[~hot], r[~hot], n[~hot]
         yield from pairs(k, r, n)
 
-    held: list[np.ndarray] | None = None
+    def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*parts)] if len(parts) > 1 else parts[0]
+
+    held: list[list[np.ndarray]] = []  # rows of the last key, which may go on in the next batch
+    crowded = None  # a key that has passed the limit: its further rows go straight on
     for b in batches:
         cur = [b.column(i).to_numpy() for i in range(3)]
-        if held is not None:
-            cur = [np.concatenate(x) for x in zip(held, cur)]
-        last = np.searchsorted(cur[0], cur[0][-1]) if len(cur[0]) else 0
-        held = [x[last:] for x in cur]  # the last key may go on in the next batch
-        yield from run(*[x[:last] for x in cur])
-    if held is not None:
-        yield from run(*held)
+        if not len(cur[0]):
+            continue
+        if crowded is not None:
+            n = int(np.searchsorted(cur[0], crowded, side="right"))
+            if n:
+                yield out(cur[1][:n], np.full(n, -1, np.int64), cur[0][:n], cur[2][:n])
+            cur = [x[n:] for x in cur]
+            if not len(cur[0]):
+                continue
+            crowded = None
+        if held and held[0][0][0] == cur[0][-1]:
+            held.append(cur)
+        else:
+            cur = joined([*held, cur])
+            last = int(np.searchsorted(cur[0], cur[0][-1]))
+            yield from run(*[x[:last] for x in cur])
+            held = [[x[last:] for x in cur]]
+        if crowd and sum(len(x[0]) for x in held) > crowd:
+            k, r, n = joined(held)
+            yield out(r, np.full(len(r), -1, np.int64), k, n)
+            crowded, held = k[0], []
+    if held:
+        yield from run(*joined(held))
 
 
 def classes(records: DataFrame, fields: tuple[str, ...] = FIELDS, least_words: int = 8) -> tuple[DataFrame, DataFrame]:
