@@ -49,6 +49,9 @@ def near_pairs(evals: DataFrame, trains: DataFrame, d: float = 0.1) -> DataFrame
     The join key holds length band, place bucket and chunk, so a chunk that many
     texts share meets only those where it stands in about the same place.
     """
+    # a text becomes a hundred rows below: spread the texts first, few files may hold them
+    parts = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    evals, trains = evals.select("id", "norm").repartition(parts, "id"), trains.select("id", "norm").repartition(parts, "id")
     n, k = F.length("norm"), F.floor(F.length("norm") * F.lit(d)).cast("int")
     most = evals.agg(F.max(n)).first()[0] or 0
     plan = band_plan(most, d)  # a few dozen bands

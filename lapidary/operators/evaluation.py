@@ -147,7 +147,8 @@ def _gram_stats(pairs: DataFrame, sides: list[tuple[str, Callable[[str], list[st
                     rows += [(i, kind, n, *_counted(h, r, n)) for n in range(1, orders + 1)]
             yield pd.DataFrame(rows, columns=["id", "kind", "n", "m", "h", "r"])
 
-    return pairs.select(F.col("id").cast("long").alias("id"), "hyp", "ref").mapInPandas(run, "id long, kind string, n int, m long, h long, r long")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # counting is the costly part: use all cores
+    return pairs.select(F.col("id").cast("long").alias("id"), "hyp", "ref").repartition(parts, "id").mapInPandas(run, "id long, kind string, n int, m long, h long, r long")
 
 
 def _chars(t: str) -> list[str]:
