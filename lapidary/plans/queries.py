@@ -352,14 +352,13 @@ def b12_run_list(spark: SparkSession, d: str) -> DataFrame:
     return L.list_runs(_runs(spark, d), status="failed").select("run_id", "family", "phase")
 
 
-# -- restoration and calibration: the most frequent signs as a ranked guess at the last sign of a record
+# -- restoration and calibration: all signs by frequency as a ranked guess at the last sign of a record
 
 
-def _slots(spark: SparkSession, d: str, k: int = 200) -> tuple[DataFrame, DataFrame]:
+def _slots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = table(spark, d, "records").where(field("hieroglyphs").isNotNull()).select("ord", T.extract_signs(field("hieroglyphs")).alias("s")).where(F.size("s") > 0)
     counts = r.select(F.explode("s").alias("sign")).groupBy("sign").agg(F.count("*").alias("c"))
-    top = counts.orderBy(F.desc("c"), "sign").limit(k)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "sign", "c"))).alias("x"), F.sum("c").alias("t"))  # k signs
+    ranked = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "sign", "c"))).alias("x"), F.sum("c").alias("t"))  # the alphabet
     lists = ranked.select(F.transform("x", lambda e: e["sign"]).alias("labels"), F.transform("x", lambda e: e["c"] / F.col("t")).alias("probs"))
     return r.select("ord", F.element_at("s", -1).alias("truth")).crossJoin(F.broadcast(lists)), counts  # one row
 
@@ -385,13 +384,13 @@ def g18_calibration_error(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g21_conformal_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return E.conformal_threshold(_slots(spark, d)[0], 0.5).select(F.round("qhat", 9).alias("qhat"), "n")
+    return E.conformal_threshold(_slots(spark, d)[0]).select(F.round("qhat", 9).alias("qhat"), "n")
 
 
 @query
 def g22_conformal_sets(spark: SparkSession, d: str) -> DataFrame:
     slots, _ = _slots(spark, d)
-    s = E.conformal_sets(slots, E.conformal_threshold(slots, 0.5))
+    s = E.conformal_sets(slots, E.conformal_threshold(slots))
     return s.select(F.round("coverage", 9).alias("coverage"), F.round("mean_size", 9).alias("mean_size"), "median_size", "n")
 
 
