@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapidary.session import ranked_within
+from lapidary.session import ranked_within, stage
 
 # -- frequency bins and recall
 
@@ -81,14 +81,23 @@ def conformal_sets(points: DataFrame, qhat: DataFrame) -> DataFrame:
 # -- bootstrap over documents
 
 
-def _picks(stats: DataFrame, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(documents numbered from 0 by name, (b, k) picks with replacement)``: digests of seed, resample and slot."""
-    docs = ranked_within(stats, [], ["doc_id"], "k")
+#: Documents whose sums are broadcast, some 60 MB at most; more are joined by a shuffle of the draws.
+SUMS = 1 << 20
+
+
+def _picks(stats: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``(b, the sums of the document picked)``, a row per resample and slot.
+
+    Documents are numbered from 0 by name and picked with replacement by digests
+    of seed, resample and slot: n_boot x documents draws, whatever the path.
+    """
+    docs = stage(ranked_within(stats, [], ["doc_id"], "k").drop("doc_id"), "sums")
     n = docs.agg(F.count("*").alias("n"))
     spark = stats.sparkSession
     draws = spark.range(n_boot).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).where("n >= 2").select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
     h = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string")), 256), 1, 8)
-    return docs, draws.select("b", F.pmod(F.conv(h, 16, 10).cast("bigint"), F.col("n")).alias("k")).groupBy("b", "k").agg(F.count("*").alias("m"))
+    few = docs.limit(SUMS + 1).count() <= SUMS
+    return draws.select("b", F.pmod(F.conv(h, 16, 10).cast("bigint"), F.col("n")).alias("k")).join(F.broadcast(docs) if few else docs, "k")
 
 
 def block_bootstrap(rows: DataFrame, value: str, doc: str = "doc_id", n_boot: int = 1000, level: float = 0.95, seed: int = 1234) -> DataFrame:
@@ -99,8 +108,7 @@ def block_bootstrap(rows: DataFrame, value: str, doc: str = "doc_id", n_boot: in
     an error.  Bounds are linear interpolations of the resampled values.
     """
     s = rows.where(F.col(value).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    docs, picks = _picks(s, n_boot, seed)
-    boot = picks.join(docs, "k").groupBy("b").agg((F.sum(F.col("s") * F.col("m")) / F.sum(F.col("c") * F.col("m"))).alias("v"))
+    boot = _picks(s, n_boot, seed).groupBy("b").agg((F.sum("s") / F.sum("c")).alias("v"))
     a = (1 - level) / 2
     ci = boot.agg(F.percentile("v", a).alias("low"), F.percentile("v", 1 - a).alias("high"))
     point = s.agg((F.sum("s") / F.sum("c")).alias("point"), F.count("*").alias("n_docs"))
@@ -115,8 +123,7 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, doc: str = "doc_id", n_boo
     the observed one, 1 at most (and 1 if that is zero).
     """
     s = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(doc).alias("doc_id")).agg(F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.count("*").alias("c"))
-    docs, picks = _picks(s, n_boot, seed)
-    boot = picks.join(docs, "k").groupBy("b").agg(((F.sum(F.col("sa") * F.col("m")) - F.sum(F.col("sb") * F.col("m"))) / F.sum(F.col("c") * F.col("m"))).alias("d"))
+    boot = _picks(s, n_boot, seed).groupBy("b").agg(((F.sum("sa") - F.sum("sb")) / F.sum("c")).alias("d"))
     obs = s.agg(((F.sum("sa") - F.sum("sb")) / F.sum("c")).alias("delta"), F.count("*").alias("n_docs"))
     al = (1 - level) / 2
     r = boot.crossJoin(F.broadcast(obs)).agg(  # one row

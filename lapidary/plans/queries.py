@@ -396,14 +396,14 @@ def g22_conformal_sets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g23_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    b = E.block_bootstrap(table(spark, d, "documents").where("source is not null"), "n_chars", "source", n_boot=200)
+    b = E.block_bootstrap(table(spark, d, "documents"), "n_chars")
     return b.select(*[F.round(c, 6).alias(c) for c in ("point", "low", "high")], "n_docs")
 
 
 @query
 def g24_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").where("source is not null").select("source", F.length("text").alias("a"), (F.length("text") - F.pmod("doc_id", F.lit(7)) + 3).alias("b"))
-    b = E.paired_bootstrap(doc, "a", "b", "source", n_boot=200)
+    doc = table(spark, d, "documents").select("doc_id", F.length("text").alias("a"), (F.length("text") - F.pmod("doc_id", F.lit(7)) + 3).alias("b"))
+    b = E.paired_bootstrap(doc, "a", "b")
     return b.select(*[F.round(c, 6).alias(c) for c in ("delta", "low", "high", "p_value")], "significant")
 
 
