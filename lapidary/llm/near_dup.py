@@ -113,7 +113,7 @@ def _extended(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction
         for i in range(len(rep)):
             own = order[off[i] : off[i + 1]]
             p, least = _prefix(own, len(own), t, 3)
-            x, y = key[i] >> 32, key[i] & 0xFFFFFFFF
+            x, y = (key[i] >> 32) & 0xFFFFFFFF, key[i] & 0xFFFFFFFF
             z = p[(p != x) & (p != y)]
             k = (key[i] * np.int64(-7046029254386353131)) ^ (z * np.int64(0x9E3779B97F4A7C1))
             if least < 3:

@@ -4,9 +4,13 @@ import hashlib
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lapidary.llm import near_dup
 from lapidary.operators import evaluation
 from lapidary.plans.queries import QUERIES
 
@@ -63,3 +67,19 @@ def test_bootstrap_of_all_documents(spark, tmp_path, monkeypatch, sums):
     got = QUERIES["g24_paired_bootstrap"](spark, str(tmp_path)).first()
     want = {"delta": obs, "low": at(d, 0.025), "high": at(d, 0.975), "p_value": min(1.0, 2 * sum(x * math.copysign(1, obs) <= 0 for x in d) / 1000)}
     assert all(abs(got[k] - x) < 2e-6 for k, x in want.items()), (got, want)
+
+
+def test_crowded_keys_above_the_sign_bit_are_divided():
+    t, counts = Fraction("0.7"), np.zeros(near_dup.COUNTS, np.int64)
+    for x in (5, (1 << 31) + 5, (1 << 32) - 5000):  # the first byte of the crowded key
+        y, rows, seen = x + 1, [], []
+        for r in range(20):
+            words = [x, y, *(x + 100 * r + i for i in range(20, 30))]  # x and y stand in the prefix
+            rows.append(np.sort(np.array(words, np.uint64) << np.uint64(32)).view(np.int64))
+        key = np.array([x], np.uint64).view(np.int64)[0] << 32 | y
+        off = pa.array(np.arange(21, dtype=np.int32) * 12)
+        b = pa.RecordBatch.from_arrays([pa.array([key] * 20), pa.array(range(20)), pa.array([12] * 20, pa.int32()), pa.ListArray.from_arrays(off, pa.array(np.concatenate(rows)))], names=["key", "rep", "n", "words"])
+        for out in near_dup._extended(iter([b]), counts, t):
+            seen += zip(out["key"].to_pylist(), out["rep"].to_pylist())
+        most = Counter(k for k, _ in seen).most_common(1)[0][1]
+        assert most == 1 and len({k for k, _ in seen}) == len(seen) > 20, (x, most)  # the rows share no third byte
