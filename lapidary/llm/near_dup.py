@@ -27,7 +27,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_py
@@ -200,6 +200,13 @@ def classes(records: DataFrame, fields: tuple[str, ...] = FIELDS, least_words: i
     return rows.select("field", "ord", "class").join(cl.select("class", "rep"), "class").select("field", "ord", "rep").distinct(), cl.select("rep", "words")
 
 
+def _reaches(t: Fraction) -> Column:
+    """The tally: the positional bytes that ``wa`` and ``wb`` share, and those that fell together in one of them, reach the guaranteed minimum."""
+    a, b = (F.transform(w, lambda x: F.shiftrightunsigned(x, 32)) for w in ("wa", "wb"))
+    fell = F.least(F.size("wa") - F.size(F.array_distinct(a)), F.size("wb") - F.size(F.array_distinct(b)))
+    return (F.size(F.array_intersect(a, b)) + fell) * (t.numerator + t.denominator) >= (F.size("wa") + F.size("wb")) * t.numerator
+
+
 def similar_classes(cl: DataFrame, threshold: str = "0.7", fields: int = len(FIELDS), crowd: int = 256) -> DataFrame:
     """``(a, b)``, a < b: pairs of classes whose word sets share at least ``threshold`` of their union."""
     t = Fraction(threshold)
@@ -221,7 +228,7 @@ def similar_classes(cl: DataFrame, threshold: str = "0.7", fields: int = len(FIE
     cand = first.where("b <> -1").select("a", "b").unionByName(more.select("a", "b")).distinct()
     both = cand.join(cl.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(cl.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
     common, total = F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb")
-    return both.where(common * (t.numerator + t.denominator) >= total * t.numerator).select("a", "b")
+    return both.where(_reaches(t)).where(common * (t.numerator + t.denominator) >= total * t.numerator).select("a", "b")
 
 
 def similar_records(records: DataFrame, fields: tuple[str, ...] = FIELDS, threshold: str = "0.7", least_words: int = 8) -> DataFrame:

@@ -83,3 +83,14 @@ def test_crowded_keys_above_the_sign_bit_are_divided():
             seen += zip(out["key"].to_pylist(), out["rep"].to_pylist())
         most = Counter(k for k, _ in seen).most_common(1)[0][1]
         assert most == 1 and len({k for k, _ in seen}) == len(seen) > 20, (x, most)  # the rows share no third byte
+
+
+def test_candidates_are_tallied_before_the_words(spark):
+    w = lambda bytes_, low=0: [(b << 32) + low for b in bytes_]
+    a = w(range(10))
+    rows = [
+        ("same", a, a), ("short", a, w(range(7)) + w(range(20, 23))), ("enough", a, w(range(9)) + w([20])), ("bytes only", a, w(range(10), 1)),
+        ("fell together", w([1] * 5) + [6, 7, 8] + w(range(2, 9)), w([1] * 5) + [6, 7, 8] + w(range(2, 9))), ("sign", w(range(-5, 5)), w(range(-5, 5))),
+    ]
+    df = spark.createDataFrame(rows, "name string, wa array<long>, wb array<long>")
+    assert {r[0] for r in df.where(near_dup._reaches(Fraction("0.7"))).collect()} == {"same", "enough", "bytes only", "fell together", "sign"}
