@@ -224,8 +224,10 @@ def d1_dedup_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def d5_new_ledger_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of later batches that no earlier one had."""
-    r = table(spark, d, "run_records").select(F.concat_ws("|", "run_id", "status", "completed_at").alias("line"), F.pmod("batch_id", F.lit(2)).alias("b"))
-    return D.drop_known_lines(r.where("b = 1").select("line"), r.where("b = 0").select("line")).select(F.trim("line").alias("line"))
+    # a line is new in the first batch that has it, unless that is the first of all: over all batches, the later lines less those of the first
+    r = table(spark, d, "run_records").select(F.concat_ws("|", "run_id", "status", "completed_at").alias("line"), F.col("batch_id").alias("b"))
+    r = r.crossJoin(F.broadcast(r.agg(F.min("b").alias("first"))))  # one row
+    return D.drop_known_lines(r.where("b > first").select("line"), r.where("b = first").select("line")).select(F.trim("line").alias("line"))
 
 
 # -- statistics

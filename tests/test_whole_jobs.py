@@ -94,3 +94,15 @@ def test_candidates_are_tallied_before_the_words(spark):
     ]
     df = spark.createDataFrame(rows, "name string, wa array<long>, wb array<long>")
     assert {r[0] for r in df.where(near_dup._reaches(Fraction("0.7"))).collect()} == {"same", "enough", "bytes only", "fell together", "sign"}
+
+
+def test_ledger_lines_by_order_of_batch(spark, tmp_path):
+    rows = [("a", 3), ("a", 4), ("b", 4), ("c", 5), ("b", 6), ("d", 6), ("d", 8), ("e", 3), ("e", 7)]
+    spark.createDataFrame([(x, "ok", None, b) for x, b in rows], "run_id string, status string, completed_at string, batch_id long").write.parquet(str(tmp_path / "run_records.parquet"))
+    seen, new = set(), set()
+    for b in sorted({b for _, b in rows}):
+        lines = {f"{x}|ok" for x, at_ in rows if at_ == b}
+        new |= lines - seen if seen else set()
+        seen |= lines
+    got = [r[0] for r in QUERIES["d5_new_ledger_lines"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(new) == ["b|ok", "c|ok", "d|ok"]
