@@ -25,32 +25,39 @@ def fill(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their sum comes close to ``budget`` without passing it.
 
     Lengths of 0 are never needed.  If the budget covers everything, all are
-    taken.  A budget within ``RANGE`` that the proportional start misses is
-    filled by the programme alone, which then comes as close as is possible.
+    taken.  On a miss up to ``RANGE`` tokens of the proportional start are given
+    back and the programme runs again; a budget within ``RANGE`` is then filled
+    by it alone, which comes as close as is possible.
     """
-    got = _fill(counts, budget, True)
-    if sum(n * k for n, k in got.items()) < min(budget, RANGE + 1) <= RANGE:
-        got = max(got, _fill(counts, budget, False), key=lambda x: sum(n * k for n, k in x.items()))
+    got = _fill(counts, budget)
+    if sum(n * k for n, k in got.items()) < budget:
+        got = max(got, _fill(counts, budget, True), key=lambda x: sum(n * k for n, k in x.items()))
     return got
 
 
-def _fill(counts: dict[int, int], budget: int, proportional: bool) -> dict[int, int]:
+def _fill(counts: dict[int, int], budget: int, again: bool = False) -> dict[int, int]:
     left = {n: c for n, c in counts.items() if n > 0 and c > 0}
     total = sum(n * c for n, c in left.items())
     if budget <= 0 or not left:
         return {}
     if budget >= total:
         return left
-    take = {n: c * budget // total if proportional else 0 for n, c in left.items()}
+    take = {n: c * budget // total for n, c in left.items()}
     rest = budget - sum(n * k for n, k in take.items())
     # long documents first, until the rest is short enough for the programme
-    goal = min(4 * max(left), RANGE) if proportional else RANGE
+    goal = RANGE if again else min(4 * max(left), RANGE)
     for n in sorted(left, reverse=True):
         if rest <= goal:
             break
         k = min(left[n] - take[n], max(0, rest - goal) // n)
         take[n] += k
         rest -= n * k
+    # on a miss: of every length an even share, then the short ones
+    for share in ((RANGE - rest) // len(left), RANGE) if again else ():
+        for n in sorted(left):
+            k = max(0, min(take[n], min(share, RANGE - rest) // n))
+            take[n] -= k
+            rest += n * k
     top = min(rest, RANGE)
     mask, reach, steps = (1 << (top + 1)) - 1, 1, []
     for n in sorted(left):

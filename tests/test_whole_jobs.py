@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lapidary.llm import near_dup
+from lapidary.llm import mixing, near_dup
 from lapidary.operators import evaluation
 from lapidary.plans.queries import QUERIES
 
@@ -106,3 +106,12 @@ def test_ledger_lines_by_order_of_batch(spark, tmp_path):
         seen |= lines
     got = [r[0] for r in QUERIES["d5_new_ledger_lines"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(new) == ["b|ok", "c|ok", "d|ok"]
+
+
+def test_a_miss_past_the_range_is_filled_again():
+    counts = {1000: 1000, 70: 100}
+    for b in range(1, 100, 7):  # only b documents of 70 fit exactly, the proportional start holds some 59
+        budget = 600_000 + 70 * b
+        got = mixing.fill(counts, budget)
+        assert all(0 < k <= counts[n] for n, k in got.items())
+        assert sum(n * k for n, k in got.items()) == budget, b
