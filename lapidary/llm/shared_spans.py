@@ -5,17 +5,21 @@ Two documents that share a stretch of ``SPAN`` = 300 code points share a chosen
 together cover 300) the one with the least hash is chosen, by content alone, so
 both documents choose the same.  About one window in fifty is chosen.
 
-Pass one adds the chosen windows of each partition to a count-min sketch with
-saturating one-byte counters; the sketches of all partitions are merged.  The
-sketch never underestimates, so pass two drops the windows it counts once and
-loses none that is repeated; what is left is grouped exactly by hash, and each
-pair is verified on the text around the window: 101 code points before it and
-100 behind suffice to tell whether the common stretch reaches 300 and whether
-this is its first window, so a stretch comes out once.
-
-Windows that the sketch counts often (a header in a third of all rows) are not
-paired: each is replaced by the spans of 300 that contain it, and only documents
-with the same span meet.  Identical documents are compared once.
+One scan of the texts writes the hashes of the chosen windows.  Pass one adds
+them to count-min sketches, one a partition, whose cells count none, one, or two
+and more; the sketches are merged with bit operations.  There are four cells to a
+window, up to ``CELLS``.  The sketch never underestimates, so the windows it
+counts once are dropped and none that is repeated is lost.  Pass two counts what
+is left exactly, by hash; only windows that stand in two different texts go back
+to their texts, which move once, and each pair is verified on the text around the
+window: 101 code points before it and 100 behind suffice to tell whether the
+common stretch reaches 300 and whether this is its first window, so a stretch
+comes out once.
+
+Windows that stand in many places (a header in a third of all rows; an exact
+count, never the estimate) are not paired: each is replaced by the spans of 300
+that contain it, and only documents with the same span meet, at the first span of
+what they have in common.  Identical documents are compared once.
 """
 
 from __future__ import annotations
@@ -33,9 +37,9 @@ from lapidary.session import stage
 
 SPAN, WINDOW = 300, 200
 STEP = SPAN - WINDOW + 1  # windows of a span
-CELLS = 1 << 23  # of each of the two rows of the sketch; fixed, whatever the data
-CHUNK = 1 << 16  # bytes of a sketch that travel in one row
-CROWD = 32  # estimated documents of a window that is not paired directly
+CELLS = 1 << 26  # most cells of each of the two rows of the sketch: 16 MB of bits are broadcast at most
+CHUNK = 1 << 16  # cells of a sketch that travel in one row
+CROWD = 32  # places of a window that is not paired directly
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -113,95 +117,109 @@ def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
-    """(text) -> the partition's sketch in chunks; a window counts once per document."""
-    table = np.zeros((2, cells), np.uint8)
-    any_ = False
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, digest of the text, hashes and places of its chosen windows)."""
     for b in batches:
-        for text in b.column(0).to_pylist():
-            _, h = windows(text)
-            if not len(h):
-                continue
-            any_ = True
-            for row, cell in zip(table, _cells(np.unique(h), cells)):
-                cell, n = np.unique(cell, return_counts=True)
-                row[cell] = np.minimum(row[cell].astype(np.int64) + n, 255).astype(np.uint8)
+        texts = b.column(1).to_pylist()
+        found = [windows(t) for t in texts]
+        off = pa.array(np.cumsum([0, *(len(at) for at, _ in found)]), pa.int32())
+        keys = np.concatenate([h for _, h in found]).view(np.int64) if found else np.zeros(0, np.int64)
+        ats = np.concatenate([at for at, _ in found]).astype(np.int32) if found else np.zeros(0, np.int32)
+        digest = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), digest, pa.ListArray.from_arrays(off, pa.array(keys)), pa.ListArray.from_arrays(off, pa.array(ats))], names=["doc_id", "digest", "keys", "ats"])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], cells: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """(keys) -> the partition's sketch in chunks of two planes of bits: cells with one window or more, with two or more."""
+    table, any_ = np.zeros((2, cells), np.uint8), False
+    for b in batches:
+        h = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        any_ |= len(h) > 0
+        for row, cell in zip(table, _cells(h, cells)):
+            cell, n = np.unique(cell, return_counts=True)
+            row[cell] = np.minimum(row[cell] + np.minimum(n, 2), 2).astype(np.uint8)
     if any_:
-        flat = table.reshape(-1, CHUNK)
+        flat = table.reshape(-1, chunk)
         for i in np.flatnonzero(flat.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([flat[i].tobytes()], pa.binary())], names=["chunk", "cells"])
+            yield _chunk(int(i), np.packbits(flat[i] > 0), np.packbits(flat[i] > 1))
+
+
+def _chunk(i: int, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], names=["chunk", "one", "two"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks sorted by number -> their saturating sums."""
-    at, total = None, None
-    done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "cells"])
+    """Chunks sorted by number -> their sums: two or more where either has, or where both have one."""
+    at, one, two = None, None, None
     for b in batches:
-        for chunk, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(cells, np.uint8).astype(np.uint16)
+        for chunk, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
             if chunk != at:
                 if at is not None:
-                    yield done()
-                at, total = chunk, x
+                    yield _chunk(at, one, two)
+                at, one, two = chunk, x, y
             else:
-                total = np.minimum(total + x, 255)
+                one, two = one | x, two | y | (one & x)
     if at is not None:
-        yield done()
+        yield _chunk(at, one, two)
 
 
-_ROWS = "key long, doc_id long, at int, place int, near string, crowded boolean"
+_HASHED = "doc_id long, digest binary, keys array<long>, ats array<int>"
+
+
+def _open(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Hashed windows -> those the sketch estimates twice or more; texts without any go."""
+    bits = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+    cells = bits.shape[1] * 8
+    for b in batches:
+        keys, ats = b.column(2), b.column(3)
+        h = keys.flatten().to_numpy(zero_copy_only=False)
+        ok = np.ones(len(h), bool)
+        for row, cell in zip(bits, _cells(h.view(np.uint64), cells)):
+            ok &= (row[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+        size = np.diff(keys.offsets.to_numpy())
+        left = np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size))
+        off = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+        new = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (h[ok], ats.flatten().to_numpy(zero_copy_only=False)[ok])]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["doc_id", "digest", "keys", "ats"]).filter(pa.array(left > 0))
+
 
+_ROWS = "key long, doc_id long, at int, place int, near string, crowded boolean"
 
-def periodic(window: str) -> bool:
-    """The window repeats itself after at most half its length, so it may stand at many neighbouring places of one text."""
-    d = window.find(window[: WINDOW // 2], 1)
-    while 0 < d <= WINDOW // 2:
-        if window[d:] == window[: len(window) - d]:
-            return True
-        d = window.find(window[: WINDOW // 2], d + 1)
-    return False
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, [(at, key, crowded)]) -> windows with the text around them; for crowded ones the spans that contain them.
 
-def _repeated(batches: Iterator[pa.RecordBatch], shared, crowd: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> windows estimated in two documents or more, with the text around them."""
-    table = np.frombuffer(shared.value, np.uint8).reshape(2, -1)
+    ``place`` is the window's place in ``near``; of a span it is the code point
+    before it if the span there comes out too, else -1.
+    """
     for b in batches:
         keys, docs, ats, places, near, crowded = [], [], [], [], [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            codes = _codes(text)
-            h = rolling(codes, WINDOW)
-            at = chosen(h)
-            if not len(at):
-                continue
-            x, y = _cells(h[at], table.shape[1])
-            n = np.minimum(table[0][x], table[1][y])
-            at, n = at[n > 1], n[n > 1]
-            if not len(at):
-                continue
+        for doc, text, found in zip(*(c.to_pylist() for c in b.columns)):
             wide: set[int] = set()
-            for p, c in zip(at.tolist(), n.tolist()):
-                if c <= crowd and not periodic(text[p : p + WINDOW]):
-                    lo = max(0, p - STEP)
-                    keys.append(h[p])
-                    docs.append(doc)
-                    ats.append(p)
-                    places.append(p - lo)
-                    near.append(text[lo : p + WINDOW + STEP - 1])
-                    crowded.append(False)
+            for w in found:
+                p = w["at"]
+                if w["crowded"]:
+                    wide.update(range(max(0, p - STEP + 1), min(p, len(text) - SPAN) + 1))
                     continue
-                wide.update(range(max(0, p - STEP + 1), min(p, len(codes) - SPAN) + 1))
+                lo = max(0, p - STEP)
+                keys.append(w["key"])
+                docs.append(doc)
+                ats.append(p)
+                places.append(p - lo)
+                near.append(text[lo : p + WINDOW + STEP - 1])
+                crowded.append(False)
             if wide:
-                span = rolling(codes, SPAN)
+                span = rolling(_codes(text), SPAN).view(np.int64)
                 for q in sorted(wide):
                     keys.append(span[q])
                     docs.append(doc)
                     ats.append(q)
-                    places.append(0)
+                    places.append(ord(text[q - 1]) if q - 1 in wide else -1)
                     near.append(hashlib.md5(text[q : q + SPAN].encode("utf-8", "surrogatepass")).hexdigest())
                     crowded.append(True)
-        k = np.array(keys, np.uint64).view(np.int64) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(places, pa.int32()), pa.array(near, pa.string()), pa.array(crowded, pa.bool_())],
+            [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int32()), pa.array(places, pa.int32()), pa.array(near, pa.string()), pa.array(crowded, pa.bool_())],
             names=["key", "doc_id", "at", "place", "near", "crowded"],
         )
 
@@ -232,9 +250,8 @@ def extent(x: str, px: int, y: str, py: int) -> tuple[int, int] | None:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows sorted by key -> per key its distinct surroundings ``((doc, place, near), places in the document)``.
 
-    A thin window is in CROWD documents at most, since the sketch never
-    underestimates; a document that holds it often, with the same text around,
-    counts once.
+    A thin window stands in CROWD places at most; a document that holds it often,
+    with the same text around, counts once.
     """
     key, held = None, {}
     for b in batches:
@@ -289,45 +306,72 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def merged_sketch(documents: DataFrame) -> bytes:
-    """The merged sketch of all partitions: 2 x CELLS bytes, whatever the data."""
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = CELLS
-    chunks = documents.select("text").mapInArrow(lambda it: _sketch(it, cells), "chunk int, cells binary")
-    merged = chunks.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, cells binary")
-    out = bytearray(2 * cells)
-    for chunk, part in merged.toLocalIterator():
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = part
+def merged_sketch(hashed: DataFrame, cells: int) -> bytes:
+    """The cells with two windows or more in the merged sketch of all partitions: 2 x ``cells`` bits."""
+    n = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    form, size = "chunk int, one binary, two binary", CHUNK
+    chunks = hashed.select("keys").mapInArrow(lambda it: _sketch(it, cells, size), form)
+    merged = chunks.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_merge, form)
+    out, size = bytearray(2 * cells // 8), size // 8
+    for chunk, part in merged.select("chunk", "two").toLocalIterator():
+        out[chunk * size : (chunk + 1) * size] = part
     return bytes(out)
 
 
-def copies(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(distinct texts (doc_id, text), membership (doc_id, rep))`` of texts of SPAN code points or more."""
-    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= SPAN)
-    h = F.sha2(F.col("text"), 256)
-    m = stage(d.select("doc_id", h.alias("h")).distinct(), "copies")
-    rep = stage(m.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
-    surplus = m.join(rep.where("n > 1"), "h").where("doc_id <> rep").select("doc_id", "rep")
-    return d.join(surplus, "doc_id", "left_anti"), surplus
-
-
-def repeated_windows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(thin, spans)``: windows of few documents sorted by key, and the spans around crowded ones that stand in two documents or more."""
-    spark = texts.sparkSession
-    shared, crowd = spark.sparkContext.broadcast(merged_sketch(texts)), CROWD
-    rows = stage(texts.select("doc_id", "text").mapInArrow(lambda it: _repeated(it, shared, crowd), _ROWS), "windows")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    thin = rows.where("not crowded").select("key", "doc_id", "at", "place", "near").repartition(n, "key").sortWithinPartitions("key")
-    spans = rows.where("crowded").select("key", "near", "doc_id", "at")
-    held = spans.groupBy("key", "near").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "near")
-    return thin, spans.join(held, ["key", "near"], "left_semi")
+def hashed_windows(documents: DataFrame) -> DataFrame:
+    """``(doc_id, digest, keys, ats)`` of the texts of SPAN code points or more: one scan, about a quarter of a byte a character."""
+    d = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where((F.length("text") >= SPAN) & F.col("doc_id").isNotNull())
+    return stage(d.mapInArrow(_hashed, _HASHED), "hashed")
+
+
+def copies(hashed: DataFrame) -> DataFrame:
+    """``(doc_id, rep)`` of every text that is a copy of the one of ``rep``, the least id; ids and digests move, no text."""
+    m = hashed.select("doc_id", "digest").distinct()
+    rep = m.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("digest", "rep")
+    return stage(m.join(rep, "digest").where("doc_id <> rep").select("doc_id", "rep"), "copies")
 
 
-def shared_pairs(texts: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, of distinct texts with a common stretch of SPAN code points."""
-    thin, spans = repeated_windows(texts)
-    spans = spans.select("key", "near", "doc_id").distinct()
-    far = spans.toDF("key", "near", "a").join(spans.toDF("key", "near", "b"), ["key", "near"]).where("a < b").select("a", "b")
+def open_windows(hashed: DataFrame, surplus: DataFrame) -> DataFrame:
+    """``(key, doc_id, at)`` of windows of distinct texts that the sketch estimates twice or more.
+
+    Where there are more windows than two for each of CELLS cells, the sketch
+    would hold none back: it is left out, and the exact count alone decides, at
+    20 bytes a window.
+    """
+    many = hashed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    left = hashed
+    if many <= 2 * CELLS:
+        cells = min(max(1 << (4 * many).bit_length(), CHUNK), max(CELLS, CHUNK))
+        shared = hashed.sparkSession.sparkContext.broadcast(merged_sketch(hashed, cells))
+        left = hashed.mapInArrow(lambda it: _open(it, shared), _HASHED)
+    left = stage(left.join(surplus, "doc_id", "left_anti").select("doc_id", "keys", "ats"), "open")
+    return left.select("doc_id", F.explode(F.arrays_zip("keys", "ats")).alias("w")).select(F.col("w.keys").alias("key"), "doc_id", F.col("w.ats").alias("at"))
+
+
+def repeated_windows(documents: DataFrame, hashed: DataFrame, surplus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(thin, spans)``: windows of few places sorted by key, and the spans around crowded ones that stand in two documents or more."""
+    rows = open_windows(hashed, surplus)
+    often = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.count("*") > CROWD).alias("crowded")).where("lo < hi").select("key", "crowded")
+    back = rows.join(often, "key").groupBy("doc_id").agg(F.collect_list(F.struct("at", "key", "crowded")).alias("found"))  # of one text
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= SPAN)
+    around = stage(texts.join(back, "doc_id").select("doc_id", "text", "found").mapInArrow(_around, _ROWS), "windows")
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    thin = around.where("not crowded").select("key", "doc_id", "at", "place", "near").repartition(n, "key").sortWithinPartitions("key")
+    return thin, around.where("crowded").select("key", "near", "doc_id", "at", "place")
+
+
+def shared_pairs(thin: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, of distinct texts with a common stretch of SPAN code points.
+
+    Two texts meet at a span only if the spans before it differ or are not
+    there, so a common stretch costs one row and not one for each of its spans.
+    """
+    spans = spans.select("key", "near", "doc_id", "place").distinct()
+    begins = spans.groupBy("key", "near").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("place").alias("p"), F.max("place").alias("q"))
+    begins = begins.where("lo < hi and (p < q or p = -1)").select("key", "near")
+    spans = stage(spans.join(begins, ["key", "near"], "left_semi"), "spans")
+    far = spans.toDF("key", "near", "a", "pa").join(spans.toDF("key", "near", "b", "pb"), ["key", "near"])
+    far = far.where("a < b and (pa <> pb or pa = -1)").select("a", "b")
     return thin.mapInArrow(_pairs, "a long, b long").unionByName(far).distinct()
 
 
@@ -335,11 +379,11 @@ def sharing_documents(documents: DataFrame) -> DataFrame:
     """``(doc_id_a, doc_id_b)``, a < b: documents with a stretch of SPAN consecutive code points in common, copies included.
 
     Null and short texts have no such stretch.  Repeated rows of one document
-    add nothing.  An empty table gives an empty result.  ``doc_id`` is unique.
+    add nothing, nor do rows without id.  An empty table gives an empty result.
     """
-    texts, surplus = copies(documents)
-    surplus = stage(surplus, "surplus")
-    links = stage(shared_pairs(texts), "links")
+    hashed = hashed_windows(documents)
+    surplus = copies(hashed)
+    links = stage(shared_pairs(*repeated_windows(documents, hashed, surplus)), "links")
     reps = surplus.select("rep").distinct()
     cls = surplus.unionByName(reps.select(F.col("rep").alias("doc_id"), "rep"))
     inside = cls.toDF("a", "rep").join(cls.toDF("b", "rep"), "rep").where("a < b").select("a", "b")
@@ -356,8 +400,11 @@ def shared_stretches(documents: DataFrame) -> DataFrame:
     rows add up to how much of it is shared.  A document with an exact copy is
     shared as a whole.  Null and short texts have none.
     """
-    texts, surplus = copies(documents)
-    thin, spans = repeated_windows(texts)
+    hashed = hashed_windows(documents)
+    surplus = copies(hashed)
+    thin, spans = repeated_windows(documents, hashed, surplus)
+    held = spans.groupBy("key", "near").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "near")
+    spans = spans.join(held, ["key", "near"], "left_semi")
     part = thin.mapInArrow(_extents, "doc_id long, start int, end int").unionByName(spans.select("doc_id", F.col("at").alias("start"), (F.col("at") + SPAN).alias("end")))
     twins = surplus.unionByName(surplus.select(F.col("rep").alias("doc_id"), "rep")).select("doc_id").distinct()
     whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("start"), F.length("text").alias("end")).join(twins, "doc_id", "left_semi")

@@ -214,7 +214,6 @@ def test_windows_are_chosen_by_content():
     assert len(shared_spans.windows(a * 20)[0]) < len(a * 20) / 25 and len(shared_spans.windows("a" * 299)[0]) == 0
     h = shared_spans.rolling(shared_spans._codes("abcabc"), 3)
     assert h[0] == h[3] != h[1] and len(shared_spans.rolling(shared_spans._codes("ab"), 3)) == 0
-    assert shared_spans.periodic("=" * 200) and shared_spans.periodic("ab" * 100) and not shared_spans.periodic(a[:200])
 
 
 def test_hot_header(spark):
@@ -225,3 +224,41 @@ def test_hot_header(spark):
     texts = [short + text(300) if i % 3 else text(30) + full + text(50) for i in range(150)]
     got = {tuple(r) for r in shared_spans.sharing_documents(docs(spark, texts)).collect()}
     assert got == set(itertools.combinations(range(0, 150, 3), 2))
+
+
+def test_full_sketch_and_no_sketch(spark, monkeypatch):
+    """Forty windows to a cell, then no sketch at all: the same pairs, and a row per window, never one per character."""
+    texts = span_texts()
+    want, _ = spans(texts)
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(120)]
+    df = docs(spark, texts)
+    monkeypatch.setattr(shared_spans, "CHUNK", 1 << 7)
+    hashed = shared_spans.hashed_windows(df)
+    n = hashed.agg(F.sum(F.size("keys"))).first()[0]
+    plain = shared_spans.merged_sketch
+    for most, cells in ((1 << 26, 1 << 7), (1, None)):
+        monkeypatch.setattr(shared_spans, "CELLS", most)
+        monkeypatch.setattr(shared_spans, "merged_sketch", lambda h, c, cells=cells: plain(h, cells))
+        assert cells is None or n / cells > 40
+        rows = shared_spans.open_windows(hashed, shared_spans.copies(hashed)).count()
+        assert rows < 0.05 * sum(len(t or "") for t in texts)
+        assert {tuple(r) for r in shared_spans.sharing_documents(df).collect()} == want
+
+
+def test_sketch_counts_ones_and_twos():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(0, 400, 300) * 0x9E3779B97F4A7 for _ in range(3)]
+    cells = shared_spans.CHUNK
+    rows = []
+    for p in parts:
+        b = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, 100, 300], pa.int32()), pa.array(p))], names=["keys"])
+        rows += list(shared_spans._sketch(iter([b]), cells, cells))
+    rows.sort(key=lambda r: r.column(0)[0].as_py())
+    merged = {r.column(0)[0].as_py(): r.column(2)[0].as_py() for r in shared_spans._merge(iter(rows))}
+    h = np.concatenate(parts).view(np.uint64)
+    for i, cell in enumerate(shared_spans._cells(h, cells)):
+        want = np.bincount(cell, minlength=cells) > 1
+        assert (np.unpackbits(np.frombuffer(merged[i], np.uint8)).astype(bool) == want).all()
