@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_py
 from lapidary.llm import cross_split, lookalike, near_dup, splits, term_counts
@@ -104,6 +105,19 @@ def test_largest_differencing():
         splits.balanced_split(None, {"train": 0.5})
 
 
+def test_differencing_with_one_heavy_group():
+    """The work of a step does not grow with what the bins hold."""
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        bins = splits.largest_differencing([(n * 50, "heavy"), *((i % 97 + 1, i) for i in range(n))], 20)
+        took.append(time.perf_counter() - began)
+        assert sorted(map(str, (x for b in bins for x in b))) == sorted(map(str, ["heavy", *range(n)]))
+    assert took[1] < 10 * took[0] + 0.5
+
+
 def test_groups_of_awkward_tables(records, awkward):
     splits.linked_records(awkward).count()
     assert splits.balanced_split(awkward).select("ord").distinct().count() == awkward.select("ord").distinct().count() - awkward.where("corpus is null").count()
@@ -122,7 +136,17 @@ def test_forms():
         assert f(a) != f(b), (a, b)
     assert f("λоγος") == "λογος" and f("ⲁо") == "ⲁⲟ" and f("mаt") == "mat" and f("о ⲁⲃⲅ") == f("o ⲁⲃⲅ")
     assert f("") == "" and f(None) is None and f("​") == "" and f("  ") == "  "
-    assert lookalike.resolve("mаt")[0] == "single" and lookalike.resolve("сор")[0] == "whole" and lookalike.resolve("λm")[0] == "plain" and lookalike.resolve("шlо")[0] == "mixed"
+    assert lookalike.resolve("mаt")[0] == "single" and lookalike.resolve("сор")[0] == "whole" and lookalike.resolve("λm")[0] == "plain" and lookalike.resolve("шfо")[0] == "mixed" and lookalike.resolve("шlо")[0] == "single"
+
+
+def test_letters_of_other_alphabets():
+    f = lookalike.consistent_form
+    for a, b in zip("ӏօոᎪꓐɑɡսᏟᴏәз", "lonABaguCoəɜ"):
+        assert f(f"x{a}") == f(f"x{b}") and f(a) == f(b), (a, b)
+    for a, b in ["αa", "χx", "lI", "oO", "вB", "ηn", ("ո", "ո̈")]:
+        assert f(a) != f(b), (a, b)
+    assert len(lookalike.CLASS_OF) == sum(map(len, lookalike._LINES))  # no letter stands in two classes
+    assert all(c == unicodedata.normalize("NFD", c) for c in lookalike.CLASS_OF)
 
 
 def skeleton(v):
@@ -206,6 +230,40 @@ def test_overlap_against_all_pairs(spark, records, alphabet, monkeypatch):
     assert got == want and len(want) > 10
 
 
+def test_texts_move_once(spark):
+    """Small blocks and chunks leave the number of rows that move as it is."""
+    rng = random.Random(3)
+    rows = [("c", "text", "".join(rng.choice("abcdef") for _ in range(rng.randint(30, 40))), i) for i in range(300)]
+    d = spark.createDataFrame(rows, "corpus string, field string, norm string, i int").withColumn("n", F.length("norm")).withColumn("h", F.unhex(F.md5("norm")))
+    d = d.withColumn("band", F.lit(17))
+    e, t = d.where("i % 3 = 0"), d.where("i % 3 > 0")
+    counts = {}
+    for passages, texts in ((7, 9), (10_000, 10_000)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(cross_split, "PASSAGES", passages)
+            m.setattr(cross_split, "TEXTS", texts)
+            folder, rows_, plan = cross_split.write_blocks(e, t)
+            counts[passages] = (spark.read.parquet(folder).count(), rows_.count())
+            assert plan[0][2] == -(-100 // passages) and rows_.select("unit").distinct().count() <= -(-200 // texts)
+    assert counts[7] == counts[10_000] == (100, 200)
+
+
+def test_bounded_distance():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 90)))
+    for _ in range(300):
+        a = word()
+        b = edits(rng, a, rng.randint(0, 12), "abc") if rng.random() < 0.7 else word()
+        for k in (0, 1, 4, 9):
+            assert cross_split.Pattern(a).within(b, k) == (distance(a, b) <= k)
+
+
+def test_found_passages_are_not_sought_again():
+    block = cross_split.Block([f"{'x' * 30}{i:03d}" for i in range(100)], [bytes([i]) for i in range(100)])
+    assert len(list(block.search(["x" * 30 + "000"]))) == 100 and not len(block.passages)
+    assert list(block.search(["x" * 30 + "001"])) == []
+
+
 def test_pieces():
     for n in range(10, 700):
         p = cross_split.pieces(n)
@@ -260,6 +318,18 @@ def test_similar_against_all_pairs(records, vocabulary, crowd):
     assert all(g[f, a]["group_ord"] == g[f, b]["group_ord"] for f, a, b in want)
 
 
+def test_crowded_keys_are_divided(records):
+    """One stock phrase in all values: no two blocks of more than the limit meet in a task, and the pairs are right."""
+    rng = random.Random(5)
+    stock = [f"s{i}" for i in range(7)]
+    rows = [(i, "c", "d", {"translation_de": " ".join(stock + [f"w{i % 40}", f"v{rng.randrange(6)}"])}, {}) for i in range(90)]
+    for crowd in (2, 8):
+        _, cl = near_dup.classes(records(rows))
+        rep = {r["rep"]: set(r["words"]) for r in cl.collect()}
+        want = {(a, b) for a, x in rep.items() for b, y in rep.items() if a < b and 10 * len(x & y) >= 7 * len(x | y)}
+        assert {tuple(r) for r in near_dup.similar_classes(cl, crowd=crowd).collect()} == want and want
+
+
 def test_tally_over_batches():
     """Runs of a key across batches of any size; crowded keys come out as rows."""
     import numpy as np
@@ -312,6 +382,23 @@ def test_terms_against_counters(records, burst, routes, held, monkeypatch):
     assert got == want and df.count() == len(want)
 
 
+@pytest.mark.parametrize("routes,limit", [(512, 50), (4, 20)])
+def test_long_common_prefix(spark, records, routes, limit, monkeypatch):
+    """Thousands of terms behind one long prefix: no merged subtree is large, and the counts are right."""
+    monkeypatch.setattr(term_counts, "ROUTES", routes)
+    monkeypatch.setattr(term_counts, "SUBTREE", limit)
+    rows = [(i, "c", "d", {"text": " ".join(f"https://www.example.org/{j % 900}" for j in range(i * 30, i * 30 + 45))}, {}) for i in range(60)]
+    want = Counter(t for _, _, _, f, _ in rows for t in f["text"].split())
+    got = {r["term"]: r["occurrences"] for r in term_counts.term_frequencies(records(rows).repartition(3)).collect()}
+    assert got == want
+    import pyarrow as pa
+
+    leaf = next(term_counts._rows("text", iter([("https://www.", {f"e{i}": (1, 1) for i in range(900)})])))
+    deep = {"text": {"https://www."[:i]: 900 for i in range(13)}}
+    cut = pa.Table.from_batches(list(term_counts._route(iter([leaf]), deep, {"text": 900}, limit, routes))).to_pylist()
+    assert max(len(r["terms"]) for r in cut) < 3 * limit and sum(len(r["terms"]) for r in cut) == 900
+
+
 def test_signs():
     assert term_counts.signs("\U00013000<g>Ff1</g>x\U00013000<g></g>") == ["\U00013000", "Ff1", "\U00013000"]
 
