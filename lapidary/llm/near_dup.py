@@ -15,6 +15,12 @@ may be left out: at least two shared bytes stand in the prefixes, so the index i
 probed by *pairs* of prefix bytes.  Pairs found are tallied over all their bytes,
 those that reach the guaranteed minimum are verified on 64-bit word fingerprints.
 
+A pair of bytes that more than ``crowd`` values hold (a stock phrase) is not
+paired: its values go on with a third byte, of the longer prefix in which three
+shared bytes stand, and so on up to ``LEVELS``.  Values that still share all of
+these are compared in blocks of ``crowd``, block against block, so no task holds
+more than two blocks, whatever stands under one key.
+
 Equal sets form one class; only classes are indexed and compared.
 """
 
@@ -35,6 +41,7 @@ from lapidary.session import stage
 
 FIELDS = ("translation_de", "transliteration")
 COUNTS = 1 << 20  # cells of the table that orders the bytes; fixed, whatever the data
+LEVELS = 5  # bytes of a key at most
 _hash: dict[str, int] = {}
 
 
@@ -104,25 +111,39 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) ->
         yield pa.RecordBatch.from_arrays([pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32))], names=["key", "rep", "n"])
 
 
-def _extended(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
-    """(key, rep, n, words) of crowded keys -> keys of three bytes: a third shared byte stands in the longer prefix."""
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(32))
+
+
+def _extended(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction, level: int) -> Iterator[pa.RecordBatch]:
+    """(key, rep, n, used, words) of crowded keys -> keys of ``level`` bytes: one more shared byte stands in the longer prefix.
+
+    A key is the sum of its mixed bytes, whatever their order.  Values whose
+    guarantee is below ``level`` bytes stay under their key as well.
+    """
     for b in batches:
-        keys, reps, sizes = [], [], []
-        key, rep, size, col = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+        keys, reps, sizes, use = [], [], [], []
+        key, rep, size, used, col = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(4)
         off, order = col.offsets.to_numpy(), _order(col.values.to_numpy(zero_copy_only=False), counts)
         for i in range(len(rep)):
             own = order[off[i] : off[i + 1]]
-            p, least = _prefix(own, len(own), t, 3)
-            x, y = (key[i] >> 32) & 0xFFFFFFFF, key[i] & 0xFFFFFFFF
-            z = p[(p != x) & (p != y)]
-            k = (key[i] * np.int64(-7046029254386353131)) ^ (z * np.int64(0x9E3779B97F4A7C1))
-            if least < 3:
+            p, least = _prefix(own, len(own), t, level)
+            u = np.array(used[i], np.int64)
+            z = p[~np.isin(p, u)]
+            k = (_mixed(z) + _mixed(u).sum(dtype=np.uint64)).view(np.int64)
+            use += [[*used[i], x] for x in z.tolist()]
+            if least < level:
                 k = np.append(k, key[i])
+                use.append(used[i])
             keys.append(k)
             reps.append(np.full(len(k), rep[i]))
             sizes.append(np.full(len(k), size[i], np.int32))
         z = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, reps, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32))], names=["key", "rep", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32)), pa.array(use, pa.list_(pa.int64()))], names=["key", "rep", "n", "used"]
+        )
 
 
 def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: int | None) -> Iterator[pa.RecordBatch]:
@@ -222,10 +243,25 @@ def similar_classes(cl: DataFrame, threshold: str = "0.7", fields: int = len(FIE
         return rows.mapInArrow(lambda it: _tally(it, t, fields, limit), "a long, b long, key long, n int")
 
     keys = cl.select("rep", "words").mapInArrow(lambda it: _keys(it, shared.value.astype(np.int64), t), "key long, rep long, n int")
-    first = stage(pairs_of(keys, crowd), "tally")
-    hot = first.where("b = -1").select("key", F.col("a").alias("rep"), "n").join(cl, "rep").select("key", "rep", "n", "words")
-    more = pairs_of(hot.mapInArrow(lambda it: _extended(it, shared.value.astype(np.int64), t), "key long, rep long, n int"), None)
-    cand = first.where("b <> -1").select("a", "b").unionByName(more.select("a", "b")).distinct()
+    found = stage(pairs_of(keys, crowd), "tally")
+    cand = found.where("b <> -1").select("a", "b")
+    byte = lambda shift: F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(0xFFFFFFFF))
+    hot = found.where("b = -1").select("key", F.col("a").alias("rep"), "n", F.array(byte(32), byte(0)).alias("used"))
+    form = "key long, rep long, n int, used array<long>"
+    for level in range(3, LEVELS + 1):
+        if hot.isEmpty():
+            break
+        longer = stage(hot.join(cl, "rep").select("key", "rep", "n", "used", "words").mapInArrow(lambda it, level=level: _extended(it, shared.value.astype(np.int64), t, level), form), "longer")
+        found = stage(pairs_of(longer.select("key", "rep", "n"), crowd), "tally")
+        cand = cand.unionByName(found.where("b <> -1").select("a", "b"))
+        rows = found.where("b = -1").select("key", F.col("a").alias("rep"), "n").distinct()
+        used = longer.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("used").alias("used"))
+        hot = stage(rows.join(used, "key"), "crowded")
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks"))
+    own, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hot = hot.join(blocks, "key").select("key", "rep", "n", own.alias("own"), other.alias("other"))
+    units = hot.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "n")
+    cand = cand.unionByName(pairs_of(units, None).select("a", "b")).distinct()
     both = cand.join(cl.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(cl.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
     common, total = F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb")
     return both.where(_reaches(t)).where(common * (t.numerator + t.denominator) >= total * t.numerator).select("a", "b")
