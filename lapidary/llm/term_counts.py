@@ -5,7 +5,10 @@ character, leaves are small tables of (rest of the term -> occurrences, records)
 that burst into a node when they grow.  The compact tries (one row per leaf)
 are written once.  From the leaves' sizes alone the prefixes that must be routed
 further are found, at most ``ROUTES`` per level, so a prefix that holds a third
-of all terms is divided while a thin one stays whole.  Matching subtrees meet by
+of all terms is divided while a thin one stays whole.  A subtree that would still
+hold more than ``SUBTREE`` entries (the terms that begin with one long prefix, or
+any route where there are very many terms) is divided by a hash of the term, so
+no task merges more at a time, whatever the data.  Matching subtrees meet by
 their route and are merged there.
 """
 
@@ -16,6 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +28,8 @@ from lapidary.session import stage
 BURST = 2_048  # terms of a leaf before it bursts
 HELD = 400_000  # distinct terms a worker holds before it writes its trie and starts anew
 ROUTES = 512
-DEPTH = 12
+DEPTH = 12  # characters of the prefixes by which subtrees are routed
+SUBTREE = 200_000  # entries of a subtree that is merged at a time, on average
 _SIGN = re.compile("[\U00013000-\U0001345f]|<g>([^<]+)</g>")
 
 
@@ -61,7 +66,7 @@ class BurstTrie:
         if x is None:
             at[rest] = [occurrences, records]
             self.size += 1
-            if len(at) > self.burst and edge != "" and i < DEPTH:
+            if len(at) > self.burst and edge != "":
                 self._burst(at, parent, edge)
         else:
             x[0] += occurrences
@@ -125,21 +130,30 @@ def _count(batches: Iterator[pa.RecordBatch], terms: dict[str, Callable[[str], l
         yield from _rows(field, iter([(None, {"": [0, n]})]))
 
 
-def _route(batches: Iterator[pa.RecordBatch], burst: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
-    """Leaves -> leaves cut at the routes: the shortest prefix of a term that is not to be divided."""
+def _route(batches: Iterator[pa.RecordBatch], burst: dict[str, dict[str, int]], total: dict[str, int], most: int, share: int) -> Iterator[pa.RecordBatch]:
+    """Leaves -> leaves cut at the routes, the shortest prefix of a term that is not to be divided, and by hash where a route is too large.
+
+    ``burst`` has the entries of the prefixes that are divided; any other route
+    holds no more than the share 1 / ``share`` of its field's.
+    """
     for b in batches:
         for field, prefix, terms, o, r in zip(*(c.to_pylist() for c in b.columns)):
-            deep, cut = burst.get(field, set()), {}
+            deep, cut = burst.get(field, {}), {}
+            thin = -(-total.get(field, 0) // (share * most))
             for t, x, y in zip(terms, o, r):
                 whole, i = prefix + t, 0
-                while whole[:i] in deep and i < len(whole):
+                while i < min(len(whole), DEPTH) and whole[:i] in deep:
                     i += 1
-                cut.setdefault(whole[:i], {})[whole[i:]] = (x, y)
-            yield from _rows(field, iter(cut.items()))
+                n = -(-deep[whole[:i]] // most) if whole[:i] in deep else thin
+                part = xxhash.xxh32_intdigest(whole.encode("utf-8", "surrogatepass")) % n if n > 1 else 0
+                cut.setdefault((whole[:i], part), {})[whole[i:]] = (x, y)
+            for part in sorted({p for _, p in cut}):
+                for rows in _rows(field, ((k[0], v) for k, v in cut.items() if k[1] == part)):
+                    yield rows.append_column("part", pa.array([part] * rows.num_rows, pa.int32()))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves sorted by (field, prefix) -> (field, term, occurrences, records); one subtree is held at a time."""
+    """Leaves sorted by (field, prefix, part) -> (field, term, occurrences, records); one of them is held at a time."""
 
     def flush(key, held):
         return pa.RecordBatch.from_arrays(
@@ -154,11 +168,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key, held = None, {}
     for b in batches:
-        for field, prefix, terms, o, r in zip(*(c.to_pylist() for c in b.columns)):
-            if (field, prefix) != key:
+        for field, prefix, terms, o, r, part in zip(*(c.to_pylist() for c in b.columns)):
+            if (field, prefix, part) != key:
                 if held:
                     yield flush(key, held)
-                key, held = (field, prefix), {}
+                key, held = (field, prefix, part), {}
             for t, x, y in zip(terms, o, r):
                 z = held.get(t)
                 if z is None:
@@ -187,16 +201,21 @@ def term_frequencies(records: DataFrame, rare: int = 2, common: float = 0.1, ter
     # a row per field
     filled = {r[0]: r[1] for r in leaves.where("prefix is null").groupBy("field").agg(F.sum(F.element_at("records", 1))).collect()}
     body = leaves.where("prefix is not null")
-    # prefixes under which more than 1 / ROUTES of all leaf entries lie: at most ROUTES per level, DEPTH levels
-    sized = body.select("field", "prefix", F.size("terms").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    up = sized.select("field", "n", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("prefix"), F.lit(DEPTH))), lambda i: F.substring("prefix", F.lit(1), i))).alias("p"))
-    deep: dict[str, set[str]] = {}
-    for r in up.groupBy("field", "p").agg(F.sum("n").alias("n")).where(F.col("n") > max(total // ROUTES, 64)).collect():
-        deep.setdefault(r[0], set()).add(r[1])
-    routed = body.mapInArrow(lambda it: _route(it, deep), _LEAF)
+    # prefixes under which more than 1 / ROUTES of a field's leaf entries lie: at most ROUTES per level
+    sized = stage(body.groupBy("field", F.substring("prefix", 1, DEPTH).alias("prefix")).agg(F.sum(F.size("terms")).alias("n")), "sizes")
+    total = {r[0]: r[1] for r in sized.groupBy("field").agg(F.sum("n")).collect()}
+    share = F.lit(0)
+    for f, n in total.items():
+        share = F.when(F.col("field") == f, F.lit(max(n // ROUTES, 64))).otherwise(share)
+    up = sized.select("field", "n", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring("prefix", F.lit(1), i))).alias("p"))
+    deep: dict[str, dict[str, int]] = {}
+    for r in up.groupBy("field", "p").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect():
+        deep.setdefault(r[0], {})[r[1]] = r[2]
+    limit, routes = SUBTREE, ROUTES
+    routed = body.mapInArrow(lambda it: _route(it, deep, total, limit, routes), _LEAF + ", part int")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = routed.repartition(n, "field", "prefix").sortWithinPartitions("field", "prefix").mapInArrow(_merge, "field string, term string, occurrences long, records long")
+    keys = ["field", "prefix", "part"]
+    merged = routed.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(_merge, "field string, term string, occurrences long, records long")
     many = F.lit(None).cast("double")
     for field, n_filled in filled.items():
         many = F.when(F.col("field") == field, F.lit(float(n_filled) * common)).otherwise(many)
