@@ -12,6 +12,9 @@ with the documents.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,20 +61,31 @@ def _fill(counts: dict[int, int], budget: int, again: bool = False) -> dict[int,
             k = max(0, min(take[n], min(share, RANGE - rest) // n))
             take[n] -= k
             rest += n * k
+    # sums that can be reached, and for each the step that reached it first
     top = min(rest, RANGE)
-    mask, reach, steps = (1 << (top + 1)) - 1, 1, []
-    for n in sorted(left):
+    use = [n for n in sorted(left) if n <= top and left[n] > take[n]]
+    if not use:
+        return {n: k for n, k in take.items() if k}
+    top -= top % math.gcd(*use)  # no sum of these lengths lies between
+    mask, reach, steps, by = (1 << (top + 1)) - 1, 1, [], np.full(top + 1, -1, np.int32)
+    for n in use:
         spare, size = left[n] - take[n], 1
-        while spare > 0 and n <= top and not reach >> top & 1:
-            k = min(size, spare, top // n)
-            steps.append((n, k, reach))
-            reach |= (reach << (n * k)) & mask
+        while spare > 0 and not reach >> top & 1:
+            k = min(size, spare, max(top // n, 1))
+            new = (reach << (n * k)) & mask & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(bits)
+                at = (at[:, None] * 8 + np.arange(8))[np.unpackbits(bits[at], bitorder="little").reshape(-1, 8).astype(bool)]
+                by[at] = len(steps)
+                steps.append((n, k))
+                reach |= new
             spare, size = (spare - k, size * 2) if k == size else (0, size)
     at = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[n] += k
-            at -= n * k
+    while at:
+        n, k = steps[by[at]]
+        take[n] += k
+        at -= n * k
     return {n: k for n, k in take.items() if k}
 
 
