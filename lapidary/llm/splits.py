@@ -123,19 +123,26 @@ def largest_differencing(weights: list[tuple[int, object]], k: int) -> list[list
     """
     if not weights:
         return [[] for _ in range(k)]
-    heap, tie = [], 0
-    for w, item in weights:
-        bins = [(0, [])] * (k - 1) + [(w, [item])]
-        heap.append((-w, tie, bins))
-        tie += 1
+    # what a bin holds is a pair of what it was combined from, opened in the end, so a step costs k and not the items
+    heap = [(-w, tie, [(0, None)] * (k - 1) + [(w, (item,))]) for tie, (w, item) in enumerate(weights)]
     heapq.heapify(heap)
-    while len(heap) > 1:
+    for tie in range(len(heap), 2 * len(heap) - 1):
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        both = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda t: t[0])
+        both = sorted(((x + y, (p, q) if p and q else p or q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda t: t[0])
         low = both[0][0]
-        heapq.heappush(heap, (low - both[-1][0], tie, [(w - low, items) for w, items in both]))
-        tie += 1
-    return [items for _, items in heap[0][2]]
+        heapq.heappush(heap, (low - both[-1][0], tie, [(w - low, held) for w, held in both]))
+    return [_opened(held) for _, held in heap[0][2]]
+
+
+def _opened(held: tuple | None) -> list[object]:
+    out, todo = [], [held] if held else []
+    while todo:
+        x = todo.pop()
+        if len(x) == 1:
+            out.append(x[0])
+        else:
+            todo += x
+    return out
 
 
 def plan_bins(histogram: list[tuple[int, int]], shares: dict[str, float], k: int) -> tuple[list[tuple[int, int, int]], dict[int, str]]:
