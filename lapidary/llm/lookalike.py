@@ -14,7 +14,10 @@ Every value is brought to one form in which equal looks are equal strings:
    values that look the same always get the same spelling.
 
 Case, punctuation, diacritics, raised or lowered digits and the number of
-blanks are visible and stay.
+blanks are visible and stay.  The table of look-alikes covers single letters of
+the alphabets that borrow or resemble Latin, Greek and Cyrillic shapes (those and
+Coptic, Armenian, Cherokee, Lisu, Canadian syllabics); letters that merely
+resemble each other in some fonts (alpha and a, chi and x) stay apart.
 """
 
 from __future__ import annotations
@@ -36,57 +39,84 @@ from lapidary.session import stage
 
 FIELDS = ("text", "hieroglyphs", "transliteration")
 
-# fixed values: letters drawn alike, one class per line, in the order LATIN GREEK CYRILLIC COPTIC ("-": none)
+# fixed values: letters drawn alike, one class per line; the first letter of a script is the one it is spelled with
 ALIKE = """
-a - а -
-c ϲ с ⲥ
-d - ԁ -
-e - е -
-h - һ -
-i - і -
-j ϳ ј -
-o ο о ⲟ
+a а ɑ
+b Ꮟ ᑲ
+c ϲ с ⲥ ᴄ
+d ԁ Ꮷ ᑯ
+e е
+g ɡ ց
+h һ հ
+i і Ꭵ
+j ϳ ј յ
+l ӏ
+n ո ռ
+o ο о ⲟ օ ᴏ
 p ρ р ⲣ
-q - ԛ -
-s - ѕ -
-v ν ѵ -
-w - ԝ -
-x - х -
-y - у -
-- χ - ⲭ
-A Α А Ⲁ
-B Β В Ⲃ
-C Ϲ С Ⲥ
-E Ε Е -
-G - Ԍ -
-H Η Н Ⲏ
-I Ι І Ⲓ
-J Ϳ Ј -
-K Κ К Ⲕ
-M Μ М Ⲙ
-N Ν - Ⲛ
-O Ο О Ⲟ
-P Ρ Р Ⲣ
-Q - Ԛ -
-S - Ѕ -
-T Τ Т Ⲧ
-W - Ԝ -
-X Χ Х Ⲭ
-Y Υ Ү -
-Z Ζ - Ⲍ
-- Φ Ф Ⲫ
-- Γ Г Ⲅ
-- Π П Ⲡ
-- κ к ⲕ
-- - т ⲧ
-- - в ⲃ
-- - н ⲏ
-- - м ⲙ
-- - г ⲅ
+q ԛ զ գ
+s ѕ ꜱ
+u ս
+v ν ѵ ᴠ
+w ԝ ᴡ
+x х
+y у
+z ᴢ
+χ ⲭ
+A Α А Ⲁ Ꭺ ꓮ ᗅ
+B Β В Ⲃ Ᏼ ꓐ ᗷ
+C Ϲ С Ⲥ Ꮯ ꓚ
+D Ꭰ ꓓ ᗞ
+E Ε Е Ꭼ ꓰ
+F Ϝ ꓝ ᖴ
+G Ԍ Ꮐ ꓖ
+H Η Н Ⲏ Ꮋ ꓧ ᕼ
+I Ι І Ⲓ Ӏ ꓲ
+J Ϳ Ј Ꭻ ꓙ ᒍ
+K Κ К Ⲕ Ꮶ ꓗ
+L Լ Ꮮ ꓡ ᒪ
+M Μ М Ⲙ Ꮇ ꓟ ᗰ
+N Ν Ⲛ ꓠ
+O Ο О Ⲟ Օ ꓳ
+P Ρ Р Ⲣ Ꮲ ꓑ ᑭ
+Q Ԛ
+R Ꭱ Ꮢ ꓣ ᖇ
+S Ѕ Տ Ꮪ Ꮥ ꓢ
+T Τ Т Ⲧ Ꭲ ꓔ
+U Ս ꓴ ᑌ
+V Ѵ Ꮩ ꓦ ᐯ
+W Ԝ Ꮃ Ꮤ ꓪ
+X Χ Х Ⲭ ꓫ
+Y Υ Ү Ⲩ Ꮍ ꓬ
+Z Ζ Ⲍ Ꮓ ꓜ
+Φ Ф Ⲫ
+Γ Г Ⲅ
+Π П Ⲡ
+κ к ⲕ ᴋ
+ᴛ т ⲧ
+ʙ в ⲃ
+ʜ н ⲏ
+ᴍ м ⲙ
+г ⲅ
+ɴ ⲛ
+ə ә
+Ə Ә
+ɜ з
+ɵ ө
+Ɵ Ө
 """
-SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "COPTIC")
-CLASSES = [dict((s, c) for s, c in zip(SCRIPTS, line.split()) if c != "-") for line in ALIKE.strip().splitlines()]
-CLASS_OF = {c: i for i, k in enumerate(CLASSES) for c in k.values()}
+
+
+def _by_script(letters: list[str]) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for c in letters:
+        out.setdefault(unicodedata.name(c).split()[0], c)
+    return out
+
+
+_LINES = [line.split() for line in ALIKE.strip().splitlines()]
+CLASSES = [_by_script(x) for x in _LINES]
+CLASS_OF = {c: i for i, x in enumerate(_LINES) for c in x}
 
 # fixed values: code points that show nothing (default ignorable), and blocks of full-width and presentation forms
 IGNORABLE = [
