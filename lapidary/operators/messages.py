@@ -5,11 +5,18 @@ prefix a sorted array of 16-byte identifiers, with the delivery that stays of
 each.  An incoming batch is first deduplicated locally (one row per identifier,
 combined map-side, so a message delivered in a third of all rows shuffles next to
 nothing), then each prefix searches its arrays by bisection and writes what is
-new as the next run.  When runs grow many they are merged into one.
+new as the next run.
+
+Prefixes lengthen with the data, so that a task holds about ``PREFIX`` identifiers
+of a run: a run keeps the number of bits it was written with, and its sorted
+arrays are cut at longer prefixes where a later run has more.  Runs are merged in
+tiers: when there are more than ``most_runs``, the last ones are merged with those
+before them that are not much larger, so an identifier is written again about
+log n times and not at every fourth batch.
 
 A run covers a span of sequence numbers; a merged run covers those of its parts,
-which are ignored from then on.  A run without its success mark is ignored, so an
-ingest that dies half way can be repeated.
+which are deleted.  A run without its success mark is ignored, so an ingest that
+dies half way can be repeated.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from pyspark.sql import functions as F
 from lapidary.session import shared_root
 
 SEGMENT = 1 << 16  # identifiers of one stored array
+PREFIX = 1 << 20  # identifiers of a prefix, on average
+BITS = 24  # of the longest prefix
 LATE = (1 << 63) - 1
 _RUN = "prefix int, ids binary, received array<long>, delivery array<long>"
 
@@ -55,7 +64,8 @@ class MessageIndex:
 
     # -- runs
 
-    def _listed(self) -> list[tuple[int, int, str]]:
+    def _listed(self) -> list[tuple[int, int, int, int, str]]:
+        """(first, last sequence number, bits, identifiers at most, path) of every finished run."""
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -63,34 +73,53 @@ class MessageIndex:
             return []
         out = []
         for s in fs.listStatus(p):
-            m = re.fullmatch(r"run-(\d+)-(\d+)", s.getPath().getName())
+            m = re.fullmatch(r"run-(\d+)-(\d+)-(\d+)-(\d+)", s.getPath().getName())
             if m and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                out.append((int(m[1]), int(m[2]), s.getPath().toString()))
+                out.append((*map(int, m.groups()), s.getPath().toString()))
         return out
 
-    def runs(self) -> list[tuple[int, int, str]]:
+    def runs(self) -> list[tuple[int, int, int, int, str]]:
         """Runs that hold: those no wider run covers, in order."""
         all_ = self._listed()
         return sorted(r for r in all_ if not any(o is not r and o[0] <= r[0] and r[1] <= o[1] and o[:2] != r[:2] for o in all_))
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*paths)
+    def _path(self, first: int, last: int, bits: int, n: int) -> str:
+        return f"{self.folder}/run-{first:06d}-{last:06d}-{bits:02d}-{n}"
+
+    def _bits(self, n: int) -> int:
+        return min(max(self.bits, (-(-n // PREFIX)).bit_length()), BITS)
+
+    def _read(self, runs: list[tuple], bits: int) -> DataFrame:
+        """Rows of ``runs`` by prefixes of ``bits`` bits; no run has more."""
+        out = None
+        for own in sorted({r[2] for r in runs}):
+            part = self.spark.read.schema(_RUN).parquet(*[r[4] for r in runs if r[2] == own])
+            if own < bits:
+                part = part.mapInPandas(lambda it: (_cut(pdf, bits) for pdf in it), _RUN)
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def keepers(self) -> DataFrame:
-        """``(delivery_id)`` of the delivery that stays, of every message."""
+        """``(delivery_id)`` of the delivery that stays, of every message; to be used before the next batch comes in."""
+        self.merge()
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], "delivery_id long")
-        if len(runs) > 1:
-            self.merge()
-        return self._read([r[2] for r in self.runs()]).select(F.explode("delivery").alias("delivery_id"))
-
-    def merge(self) -> None:
-        """Merge all runs into one that covers them."""
-        runs = self.runs()
-        if len(runs) > 1:
-            merged = self._read([r[2] for r in runs]).groupBy("prefix").applyInPandas(_merge, _RUN)
-            merged.write.mode("overwrite").parquet(f"{self.folder}/run-{runs[0][0]:06d}-{runs[-1][1]:06d}")
+        return self._read(runs, runs[0][2]).select(F.explode("delivery").alias("delivery_id"))
+
+    def merge(self, last: int | None = None) -> None:
+        """Merge the ``last`` runs (default: all) into one that covers them, and delete them."""
+        runs = self.runs()[-last:] if last else self.runs()
+        if len(runs) < 2:
+            return
+        n = sum(r[3] for r in runs)
+        bits = max(self._bits(n), *(r[2] for r in runs))
+        path = self._path(runs[0][0], runs[-1][1], bits, n)
+        self._read(runs, bits).groupBy("prefix").applyInPandas(_merge, _RUN).write.mode("overwrite").parquet(path)
+        for r in runs:
+            if r[4].rstrip("/").rsplit("/", 1)[-1] != path.rsplit("/", 1)[-1]:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(r[4])
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def ingest(self, batch: DataFrame) -> None:
         """Add ``batch(id, received_at, delivery_id)``.
@@ -102,18 +131,34 @@ class MessageIndex:
         runs = self.runs()
         at = F.coalesce(F.unix_micros("received_at"), F.lit(LATE))
         local = batch.groupBy("id").agg(F.min(F.struct(at.alias("received"), F.col("delivery_id").cast("long").alias("delivery"))).alias("k"))
-        bits = self.bits
-        prefix = F.shiftright(F.conv(F.hex(F.substring("id", 1, 2)), 16, 10).cast("int"), 16 - bits)
+        n = batch.count()
+        bits = max(self._bits(n + sum(r[3] for r in runs)), *(r[2] for r in runs), self.bits)
+        prefix = F.shiftright(F.conv(F.hex(F.substring("id", 1, 3)), 16, 10).cast("int"), BITS - bits)
         new = local.select(prefix.alias("prefix"), "id", "k.received", "k.delivery")
         if runs:
-            held = self._read([r[2] for r in runs])
-            out = new.groupBy("prefix").cogroup(held.groupBy("prefix")).applyInPandas(_novel, _RUN)
+            out = new.groupBy("prefix").cogroup(self._read(runs, bits).groupBy("prefix")).applyInPandas(_novel, _RUN)
         else:
             out = new.groupBy("prefix").applyInPandas(_run, _RUN)
         seq = max((r[1] for r in runs), default=-1) + 1
-        out.write.mode("overwrite").parquet(f"{self.folder}/run-{seq:06d}-{seq:06d}")
-        if len(runs) + 1 > self.most_runs:
-            self.merge()
+        out.write.mode("overwrite").parquet(self._path(seq, seq, bits, n))
+        runs = self.runs()
+        if len(runs) > self.most_runs:
+            k, size = 2, runs[-1][3] + runs[-2][3]
+            while k < len(runs) and runs[-k - 1][3] <= 2 * size:
+                k, size = k + 1, size + runs[-k - 1][3]
+            self.merge(k)
+
+
+def _cut(pdf: pd.DataFrame, bits: int) -> pd.DataFrame:
+    """Stored arrays cut at prefixes of ``bits`` bits; identifiers are sorted, so each prefix is a stretch."""
+    out = [_segments(0, np.zeros(0, "S16"), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for ids, received, delivery in _arrays(pdf):
+        head = np.frombuffer(ids.tobytes(), np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+        prefix = (head[:, 0] << 16 | head[:, 1] << 8 | head[:, 2]) >> (BITS - bits)
+        cuts = np.flatnonzero(np.diff(prefix)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(ids)]):
+            out.append(_segments(int(prefix[lo]), ids[lo:hi], received[lo:hi], delivery[lo:hi]))
+    return pd.concat(out, ignore_index=True)
 
 
 def _segments(prefix: int, ids: np.ndarray, received: np.ndarray, delivery: np.ndarray) -> pd.DataFrame:
@@ -182,11 +227,13 @@ def surplus_deliveries(deliveries: DataFrame, rounds: int = 4, index: MessageInd
     """
     spark = deliveries.sparkSession
     index = index or MessageIndex(spark)
-    rows = deliveries.select(identifier().alias("id"), "received_at", "delivery_id", "batch_id")
     lo, hi = deliveries.agg(F.min("batch_id"), F.max("batch_id")).first()
     lo, hi = lo or 0, hi or 0
-    cuts = [lo + (hi - lo + 1) * i // rounds for i in range(rounds + 1)]
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        span = (F.col("batch_id") >= a) & (F.col("batch_id") < b)
-        index.ingest(rows.where(span | F.col("batch_id").isNull() if i == 0 else span).drop("batch_id"))
+    span = F.coalesce(F.floor((F.col("batch_id") - lo) * rounds / (hi - lo + 1)), F.lit(0)).cast("int")
+    rows = deliveries.select(identifier().alias("id"), "received_at", "delivery_id", span.alias("span"))
+    folder = f"{shared_root(spark)}/deliveries-{uuid.uuid4().hex[:8]}"
+    rows.write.partitionBy("span").parquet(folder)  # the table is read once, a batch reads its own span
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    for i in range(rounds):
+        index.ingest(rows.where(F.col("span") == i).drop("span"))
     return deliveries.select("delivery_id").join(index.keepers(), "delivery_id", "left_anti").distinct()

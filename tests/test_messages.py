@@ -43,6 +43,24 @@ def test_index_is_idempotent_and_merges(spark):
     assert {r[0] for r in ix.keepers().collect()} == {2, 4, 5, 8, 9}
 
 
+def test_prefixes_lengthen_and_runs_merge_in_tiers(spark, monkeypatch):
+    """Longer prefixes as identifiers come in, small runs merged with small ones, merged ones deleted."""
+    from lapidary.operators import messages
+
+    monkeypatch.setattr(messages, "PREFIX", 100)
+    ix = MessageIndex(spark, prefix_bits=1, most_runs=3)
+    rows = lambda a, b: spark.range(a, b).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("id"), F.timestamp_seconds(F.col("id")).alias("received_at"), F.col("id").alias("delivery_id"))
+    at, firsts = 0, []
+    for n in (1000, 40, 300, 90, 90, 90):
+        ix.ingest(rows(max(at - 10, 0), at + n))
+        at += n
+        runs = ix.runs()
+        assert len(runs) <= 3 and len(ix._listed()) == len(runs)
+        firsts.append(runs[0][:2])
+    assert firsts == [(0, 0)] * 6 and runs[0][2] < runs[-1][2]  # the large run was not written again
+    assert sorted(r[0] for r in ix.keepers().collect()) == list(range(at))
+
+
 def test_hot_message(spark):
     hot = spark.range(3000).select(F.col("id").alias("delivery_id"), (F.col("id") % 7).alias("batch_id"), F.timestamp_seconds(F.col("id") + 100).alias("received_at"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("run_id"), F.lit("s").alias("status"), F.lit(None).cast("string").alias("completed_at"))
     assert surplus_deliveries(hot).count() == 999
