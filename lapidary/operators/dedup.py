@@ -3,9 +3,10 @@
 A row of valid or test is near if a training text is within ``int(d · n)`` edits
 of it, n being its own length.  Candidates come from an equi-join that loses
 none: a training text is cut into disjoint chunks of q characters; k edits break
-k of them at most, so with k + 1 or more chunks one stands unchanged in the
-evaluation text, moved by k places at most.  Ids and digests are exploded, never
-texts.
+k of them at most, so of c chunks c - k stand unchanged in the evaluation text,
+moved by k places at most.  Surviving chunks are tallied per pair, and the counts
+of some letters bound the distance from below before it is computed.  Ids and
+digests are exploded, never texts.
 """
 
 from __future__ import annotations
@@ -43,6 +44,18 @@ def band_plan(most: int, d: float) -> list[tuple[int, int, int]]:
     return out
 
 
+_LETTERS = "entrias"
+
+
+def _letters_apart(a: str, b: str) -> Column:
+    """Sum over some letters of how much their counts differ: at most twice the edit distance."""
+    count = lambda t, c: F.length(F.col(t)) - F.length(F.replace(F.col(t), F.lit(c)))
+    out = F.abs(F.length(a) - F.length(b))
+    for c in _LETTERS:
+        out = out + F.abs(count(a, c) - count(b, c))
+    return out
+
+
 def near_pairs(evals: DataFrame, trains: DataFrame, d: float = 0.1) -> DataFrame:
     """``evals(id, norm)`` and ``trains(id, norm)`` of distinct texts -> ``(id)`` of the evaluation texts with a near training text.
 
@@ -68,12 +81,19 @@ def near_pairs(evals: DataFrame, trains: DataFrame, d: float = 0.1) -> DataFrame
     t = trains.where(n > 0).select("id", "norm", n.alias("tn"), F.explode(F.sequence(_band(lo), _band(hi))).alias("band"))
     t = t.withColumn("q", q).withColumn("w", w).where("tn >= q").withColumn("kt", (F.floor(F.col("tn") * d / (1 - d)) + 1).cast("int"))
     starts = F.sequence(F.lit(0), F.col("tn") - F.col("q"), F.col("q"))
-    chunks = t.select(F.col("id").alias("tid"), "tn", "band", "kt", "w", F.explode(F.transform(starts, lambda i: F.struct(i.alias("tp"), gram(i).alias("g")))).alias("c"))
+    all_ = F.floor(F.col("tn") / F.col("q")).cast("int")  # chunks of the text
+    chunks = t.select(F.col("id").alias("tid"), "tn", "band", "kt", "w", all_.alias("c_all"), F.explode(F.transform(starts, lambda i: F.struct(i.alias("tp"), gram(i).alias("g")))).alias("c"))
     low, high = F.greatest(F.floor((F.col("c.tp") - F.col("kt")) / F.col("w")), F.lit(0)).cast("int"), F.floor((F.col("c.tp") + F.col("kt")) / F.col("w")).cast("int")
-    chunks = chunks.select("tid", "tn", "band", "c.tp", "c.g", F.explode(F.sequence(low, high)).alias("b"))
-    cand = grams.join(chunks, ["band", "b", "g"]).where("abs(n - tn) <= k and abs(p - tp) <= k").select("id", "tid").distinct()
+    chunks = chunks.select("tid", "tn", "band", "c_all", "c.tp", "c.g", F.explode(F.sequence(low, high)).alias("b"))
+    # a chunk moved by s took s insertions or deletions before it, and the rest of the difference in length after it
+    met = grams.join(chunks, ["band", "b", "g"]).where("abs(p - tp) + abs((n - tn) - (p - tp)) <= k")
+    # a chunk that stands in several places counts more than once, which loses no pair
+    tally = met.groupBy("id", "tid").agg(F.count("*").alias("same"), F.max(F.col("c_all") - F.col("k")).alias("least"))
+    cand = tally.where("same >= least").select("id", "tid")
     x, y = evals.select("id", F.col("norm").alias("x")), trains.select(F.col("id").alias("tid"), F.col("norm").alias("y"))
-    close = cand.join(x, "id").join(y, "tid").where(f"levenshtein(x, y, cast(floor(length(x) * {d!r}D) as int)) >= 0")
+    both = cand.join(x, "id").join(y, "tid").withColumn("k", F.floor(F.length("x") * F.lit(d)).cast("int"))
+    # cheapest first: how often some frequent letters stand in either text, as each edit changes two counts by one at most
+    close = both.where(_letters_apart("x", "y") <= 2 * F.col("k")).where("levenshtein(x, y, k) >= 0")
     return close.select("id").distinct()
 
 
@@ -83,15 +103,16 @@ def dedup_flags(split: DataFrame, target: str, max_norm_dist: float = 0.1) -> Da
     Train is untouched.  The empty normal form can be an exact duplicate.  A
     record without the target field is an error; a null value counts as empty.
     """
-    if split.where(~F.map_contains_key("fields", target)).limit(1).count():
+    value = F.coalesce(F.col("fields")[target], F.lit(""))
+    rows = stage(split.withColumn("__n", normalize_target(value)).withColumn("__id", F.unhex(F.md5("__n"))).withColumn("__has", F.map_contains_key("fields", target)), "normalised")
+    if not rows.where("not __has").isEmpty():
         raise KeyError(f"a record has no field {target}")
-    rows = stage(split.withColumn("__n", normalize_target(F.coalesce(F.col("fields")[target], F.lit("")))), "normalised")
-    texts = stage(rows.groupBy("__n").agg(F.max(F.col("part") == "train").alias("tr"), F.max(F.col("part") != "train").alias("ev")).select(F.xxhash64("__n").alias("id"), F.col("__n").alias("norm"), "tr", "ev"), "texts")
-    exact = texts.where("tr and ev").select("norm", F.lit("exact").alias("removed"))
+    sides = F.max(F.col("part") == "train").alias("tr"), F.max(F.col("part") != "train").alias("ev")
+    texts = stage(rows.groupBy(F.col("__id").alias("id")).agg(F.first("__n").alias("norm"), *sides), "texts")
+    gone = texts.where("tr and ev").select("id", F.lit("exact").alias("removed"))
     if max_norm_dist > 0:
-        near = near_pairs(texts.where("ev and not tr"), texts.where("tr"), max_norm_dist)
-        exact = exact.unionByName(texts.join(near, "id", "left_semi").where("ev and not tr").select("norm", F.lit("near").alias("removed")))
-    hit = rows.join(exact, rows["__n"] == exact["norm"], "left").drop("norm", "__n")
+        gone = gone.unionByName(near_pairs(texts.where("ev and not tr"), texts.where("tr"), max_norm_dist).withColumn("removed", F.lit("near")))
+    hit = rows.join(gone, F.col("__id") == F.col("id"), "left").drop("id", "__id", "__n", "__has")
     return hit.withColumn("removed", F.when(F.col("part") != "train", F.col("removed")))
 
 
@@ -115,7 +136,9 @@ def dedup_against_train(split: DataFrame, target: str, max_norm_dist: float = 0.
     return kept, report
 
 
-def drop_known_lines(new: DataFrame, known: DataFrame) -> DataFrame:
-    """Lines of ``new(line)`` whose trimmed text is not in ``known(line)``, once each, blank ones skipped."""
+def drop_known_lines(new: DataFrame, known: DataFrame, order: str | None = None) -> DataFrame:
+    """Lines of ``new(line)`` whose trimmed text is not in ``known(line)``, once each, blank ones skipped; with ``order``, the first of equal ones stays."""
     key = F.trim("line")
-    return new.where(key != "").withColumn("__k", key).dropDuplicates(["__k"]).join(known.select(F.trim("line").alias("__k")).distinct(), "__k", "left_anti").drop("__k")
+    rows = new.where(key != "").withColumn("__k", key)
+    rows = rows.groupBy("__k").agg(F.min_by(F.struct(*new.columns), order).alias("r")).select("__k", "r.*") if order else rows.dropDuplicates(["__k"])
+    return rows.join(known.select(F.trim("line").alias("__k")).distinct(), "__k", "left_anti").drop("__k")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lapidary.session import ranked_within, stage
+from lapidary.session import ranked_within, running_sum, stage
 
 # -- frequency bins and recall
 
@@ -27,12 +27,17 @@ def frequency_bins(counts: DataFrame, n_bins: int = 3) -> DataFrame:
     return r.select("sign", out.alias("bin"))
 
 
+def _weight(df: DataFrame) -> Column:
+    """How many equal slots a row stands for: its column ``weight``, if there is one."""
+    return F.col("weight").cast("long") if "weight" in df.columns else F.lit(1).cast("long")
+
+
 def recall_at(slots: DataFrame, bins: DataFrame | None = None, ks: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
-    """``slots(labels, truth)`` -> recall per bin and in all (``bin`` = null); signs without a bin are ``all``."""
+    """``slots(labels, truth)`` -> recall per bin and in all (``bin`` = null); signs without a bin are ``all``. A column ``weight`` counts equal slots."""
     pos = F.array_position("labels", F.col("truth"))
-    s = slots.select("truth", *[((pos > 0) & (pos <= k)).cast("int").alias(f"h{k}") for k in ks])
+    s = slots.select("truth", _weight(slots).alias("w"), *[F.when((pos > 0) & (pos <= k), _weight(slots)).otherwise(0).alias(f"h{k}") for k in ks])
     s = s.join(bins, s["truth"] == bins["sign"], "left").withColumn("bin", F.coalesce("bin", F.lit("all"))) if bins is not None else s.withColumn("bin", F.lit("all"))
-    per = s.groupBy("bin").agg(F.count("*").alias("n"), *[F.sum(f"h{k}").alias(f"h{k}") for k in ks])
+    per = s.groupBy("bin").agg(F.sum("w").alias("n"), *[F.sum(f"h{k}").alias(f"h{k}") for k in ks])
     return per.rollup("bin").agg(F.sum("n").alias("n_slots"), *[(F.sum(f"h{k}") / F.sum("n")).alias(f"recall_{k}") for k in ks])
 
 
@@ -56,26 +61,29 @@ def conformal_score(labels: str = "labels", probs: str = "probs", truth: str = "
 
 
 def conformal_threshold(points: DataFrame, target: float = 0.9) -> DataFrame:
-    """``(qhat, n)``: with k = ceil((n + 1) c), the value at place k from 0 (the last one if k >= n)."""
+    """``(qhat, n)``: with k = ceil((n + 1) c), the value at place k from 0 (the last one if k >= n). A column ``weight`` counts equal points."""
     if not 0 < target < 1:
         raise ValueError("target coverage must lie between 0 and 1")
-    s = points.select(conformal_score().alias("s")).withColumn("__id", F.monotonically_increasing_id())
-    r = ranked_within(s, [], ["s", "__id"], "r").crossJoin(F.broadcast(points.agg(F.count("*").alias("n"))))  # one row
+    s = stage(points.groupBy(conformal_score().alias("s")).agg(F.sum(_weight(points)).alias("c")), "scores")  # a row per different score
+    up = running_sum(s, ["s"], "c", "up").crossJoin(F.broadcast(s.agg(F.sum("c").alias("n"))))  # one row
     k = F.ceil((F.col("n") + 1) * F.lit(target))
     at = F.when(k < F.col("n"), F.ceil(k / F.col("n") * (F.col("n") - 1))).otherwise(F.col("n") - 1)
-    return r.where(F.col("r") == at).select(F.col("s").alias("qhat"), "n")
+    return up.where((F.col("up") > at) & (F.col("up") - F.col("c") <= at)).select(F.col("s").alias("qhat"), "n")
 
 
 def conformal_sets(points: DataFrame, qhat: DataFrame) -> DataFrame:
-    """Coverage and set sizes: the shortest prefix whose probability reaches ``qhat``, the whole list if none does."""
+    """Coverage and set sizes: the shortest prefix whose probability reaches ``qhat``, the whole list if none does. A column ``weight`` counts equal points."""
     p = points.crossJoin(F.broadcast(qhat.select("qhat")))  # one row
     cum = F.aggregate(
         "probs", F.struct(F.lit(0.0).alias("t"), F.lit(0).alias("n")), lambda s, x: F.struct(F.when(s["t"] >= F.col("qhat"), s["t"]).otherwise(s["t"] + x).alias("t"), (s["n"] + (s["t"] < F.col("qhat")).cast("int")).alias("n"))
     )
     n = F.when(F.size("probs") == 0, 0).otherwise(F.greatest(cum["n"], F.lit(1)))
-    size = p.select(n.alias("n"), F.col("labels"), F.col("truth"))
+    size = p.select(n.alias("n"), F.col("labels"), F.col("truth"), _weight(p).alias("w"))
     hit = F.array_contains(F.slice("labels", 1, F.greatest("n", F.lit(0))), F.col("truth"))
-    return size.agg(F.avg(hit.cast("double")).alias("coverage"), F.avg("n").alias("mean_size"), F.median("n").alias("median_size"), F.count("*").alias("n"))
+    all_ = F.sum("w")
+    return size.agg(
+        (F.sum(F.when(hit, F.col("w")).otherwise(0)) / all_).alias("coverage"), (F.sum(F.col("n") * F.col("w")) / all_).alias("mean_size"), F.percentile("n", 0.5, F.col("w")).alias("median_size"), F.coalesce(all_, F.lit(0)).alias("n")
+    )
 
 
 # -- bootstrap over documents
@@ -92,12 +100,11 @@ def _picks(stats: DataFrame, n_boot: int, seed: int) -> DataFrame:
     of seed, resample and slot: n_boot x documents draws, whatever the path.
     """
     docs = stage(ranked_within(stats, [], ["doc_id"], "k").drop("doc_id"), "sums")
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.count()
     spark = stats.sparkSession
-    draws = spark.range(n_boot).select(F.col("id").alias("b")).crossJoin(F.broadcast(n)).where("n >= 2").select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("slot"))
+    draws = spark.range(n_boot * n if n > 1 else 0).select(F.floor(F.col("id") / n).alias("b"), F.pmod("id", F.lit(n)).alias("slot")) if n else spark.range(0).select(F.col("id").alias("b"), F.col("id").alias("slot"))
     h = F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("slot").cast("string")), 256), 1, 8)
-    few = docs.limit(SUMS + 1).count() <= SUMS
-    return draws.select("b", F.pmod(F.conv(h, 16, 10).cast("bigint"), F.col("n")).alias("k")).join(F.broadcast(docs) if few else docs, "k")
+    return draws.select("b", F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(max(n, 1))).alias("k")).join(F.broadcast(docs) if n <= SUMS else docs, "k")
 
 
 def block_bootstrap(rows: DataFrame, value: str, doc: str = "doc_id", n_boot: int = 1000, level: float = 0.95, seed: int = 1234) -> DataFrame:
@@ -213,7 +220,19 @@ def tokens_13a(t: str) -> list[str]:
 
 def corpus_bleu(pairs: DataFrame, max_order: int = 4) -> DataFrame:
     """BLEU of ``pairs(id, hyp, ref)``: summed clipped n-gram precisions, brevity penalty, exponential smoothing of orders without a match."""
-    per = _gram_stats(pairs, [("b", tokens_13a, max_order)]).groupBy("n").agg(*[F.sum(c).alias(c) for c in ("m", "h", "r")])
+    return _bleu(_gram_stats(pairs, [("b", tokens_13a, max_order)]), max_order)
+
+
+def corpus_scores(pairs: DataFrame, max_order: int = 4) -> DataFrame:
+    """``(chrf, chrf_plus, bleu)`` of ``pairs(id, hyp, ref)`` from one pass over the texts."""
+    sums = _gram_stats(pairs, [("c", _chars, 6), ("w", _words, 2), ("b", tokens_13a, max_order)]).groupBy("kind", "n").agg(*[F.sum(c).alias(c) for c in ("m", "h", "r")])
+    sums = stage(sums, "grams")  # a row per kind and order
+    chrf = lambda kinds, name: _f_score(sums.where(F.col("kind").isin(*kinds)), []).withColumnRenamed("chrf", name)
+    return chrf("c", "chrf").crossJoin(chrf("cw", "chrf_plus")).crossJoin(_bleu(sums.where("kind = 'b'"), max_order))  # one row each
+
+
+def _bleu(stats: DataFrame, max_order: int) -> DataFrame:
+    per = stats.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("m", "h", "r")])
     zeros = F.sum((F.col("m") == 0).cast("int")).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0))  # max_order rows
     p = per.where("h > 0").withColumn("z", zeros)
     p = p.withColumn("lp", F.when(F.col("m") > 0, F.ln(F.col("m") / F.col("h"))).otherwise(F.ln(1 / (F.pow(F.lit(2.0), "z") * F.col("h")))))

@@ -8,12 +8,12 @@ import os
 import traceback
 import uuid
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.functions.hashing import content_hash
+from lapidary.session import Files
 
 _run: list[str] = []
 
@@ -58,7 +58,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.manifest_path, self.audit_path = Path(self.root) / "frozen.json", Path(self.root) / "audit"
+        self.files, self.manifest_path, self.audit_path = Files(spark), f"{self.root}/frozen.json", f"{self.root}/audit"
 
     def path(self, corpus: str, scheme: str, tag: str) -> str:
         return f"{self.root}/{corpus}/splits/{scheme}/{tag}"
@@ -67,7 +67,7 @@ class Store:
         return f"{corpus}/{scheme}/{tag}/test"
 
     def manifest(self) -> dict:
-        return json.loads(self.manifest_path.read_text()) if self.manifest_path.exists() else {}
+        return json.loads(self.files.read(self.manifest_path)) if self.files.exists(self.manifest_path) else {}
 
     def write(self, split: DataFrame, corpus: str, scheme: str, tag: str = "v1") -> str:
         """Write a split by part; refused where its test part is frozen."""
@@ -90,8 +90,7 @@ class Store:
                 raise FrozenError(f"{k} differs from what was frozen")
             return h
         m[k] = {"sha256": h, "frozen_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "n_rows": test.count()}
-        self.manifest_path.parent.mkdir(parents=True, exist_ok=True)
-        self.manifest_path.write_text(json.dumps(m, indent=2, sort_keys=True) + "\n")
+        self.files.write(self.manifest_path, json.dumps(m, indent=2, sort_keys=True) + "\n")
         return h
 
     def read(self, corpus: str, scheme: str, tag: str = "v1", part: str = "train") -> DataFrame:
@@ -123,11 +122,10 @@ class Store:
             "timestamp": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "run_id": current_run(), "path": key, "mode": mode, "pid": os.getpid(),
             "caller": f"{frame.filename}:{frame.lineno}" if frame else None,
         }
-        self.audit_path.mkdir(parents=True, exist_ok=True)
-        (self.audit_path / f"{uuid.uuid4().hex}.jsonl").write_text(json.dumps(event) + "\n")
+        self.files.write(f"{self.audit_path}/{uuid.uuid4().hex}.jsonl", json.dumps(event) + "\n")
 
     def audit(self) -> DataFrame:
         schema = "timestamp string, run_id string, path string, mode string, pid long, caller string"
-        if not self.audit_path.exists():
+        if not self.files.exists(self.audit_path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).json(str(self.audit_path))
+        return self.spark.read.schema(schema).json(self.audit_path)

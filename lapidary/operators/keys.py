@@ -18,14 +18,21 @@ def with_ord(df: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
 def unique_ids(df: DataFrame, id_col: str = "sent_id", order: str = "ord") -> DataFrame:
     """The first row of an id keeps it, the k-th becomes ``id#k``.
 
-    Ids that already look like ``x#2`` may be taken: the families (the id without
-    such an ending) in which that happens are renumbered one by one, in order.
+    Repeated ids are numbered by an exact distributed rank, so one id in a third
+    of all rows is no single task.  ``x#2`` may be taken already: only families
+    (the id without such an ending) in which an id is repeated *and* another ends
+    like that are renumbered one by one, in order.
     """
-    base = F.regexp_replace(id_col, r"#\d+$", "")
-    marked = df.withColumn("__base", base)
-    odd = marked.where(F.col(id_col) != F.col("__base")).select("__base").distinct()
-    n = F.row_number().over(W.partitionBy(id_col).orderBy(order))
-    plain = marked.join(odd, "__base", "left_anti").withColumn(id_col, F.when(n == 1, F.col(id_col)).otherwise(F.concat(id_col, F.lit("#"), n.cast("string"))))
+    marked = df.withColumn("__base", F.regexp_replace(id_col, r"#\d+$", ""))
+    ids = marked.groupBy(id_col, "__base").agg(F.count("*").alias("__n"))
+    odd = ids.groupBy("__base").agg(F.max(F.col(id_col) != F.col("__base")).alias("__ends"), F.max("__n").alias("__n")).where("__ends and __n > 1").select("__base")
+    free = marked.join(odd, "__base", "left_anti")
+    again = ids.where("__n > 1").select(id_col)
+    once = free.join(again, id_col, "left_anti").select(marked.columns)
+    n = F.col("__rank") + 1
+    more = ranked_within(free.join(again, id_col, "left_semi").select(marked.columns), [id_col], [order], "__rank")
+    more = more.withColumn(id_col, F.when(n == 1, F.col(id_col)).otherwise(F.concat(id_col, F.lit("#"), n.cast("string")))).select(marked.columns)
+    nulls = marked.where(F.col(id_col).isNull())
 
     def renumber(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, seen, out = pdf.sort_values(order), set(), []
@@ -40,8 +47,9 @@ def unique_ids(df: DataFrame, id_col: str = "sent_id", order: str = "ord") -> Da
         pdf[id_col] = out
         return pdf
 
-    rest = marked.join(odd, "__base", "left_semi").select(plain.columns)
-    return plain.unionByName(rest.groupBy("__base").applyInPandas(renumber, rest.schema)).drop("__base")
+    rest = marked.join(odd, "__base", "left_semi").select(marked.columns)
+    out = once.where(F.col(id_col).isNotNull()).unionByName(more.where(F.col(id_col).isNotNull())).unionByName(nulls)
+    return out.unionByName(rest.groupBy("__base").applyInPandas(renumber, rest.schema)).drop("__base")
 
 
 def first_seen_number(df: DataFrame, keys: list[Column], order: str = "ord", name: str = "number") -> DataFrame:

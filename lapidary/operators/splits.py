@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions.hashing import multiset_sums, order_key
 from lapidary.functions.text import extract_signs, period_bucket
-from lapidary.session import ranked_within, stage
+from lapidary.session import ranked_within, running_sum, stage
 
 PARTS = ("train", "valid", "test")
 RATIOS = {"train": 0.8, "valid": 0.1, "test": 0.1}
@@ -53,7 +53,7 @@ def assign_groups(groups: DataFrame, ratios: dict[str, float] | None = None, see
     check_ratios(ratios)
     ordered = groups.select("grp", "w", order_key(seed, label, F.coalesce(F.col("grp").cast("string"), F.lit("\x00"))).alias("__h"))
     # one row per group; the running sum is taken over range-partitioned blocks
-    run = _running_sum(ordered, ["__h", "grp"], "w", "cum")
+    run = running_sum(ordered, ["__h", "grp"], "w", "cum")
     total = groups.agg(F.sum("w").alias("total"))
     g = run.crossJoin(F.broadcast(total))  # one row
     part = (
@@ -64,16 +64,6 @@ def assign_groups(groups: DataFrame, ratios: dict[str, float] | None = None, see
     return g.select("grp", part.alias("part"))
 
 
-def _running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Inclusive running sum in a global order: per range partition, plus the sums of the partitions before."""
-    rows = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "running")
-    rows = rows.withColumn("__p", F.shiftright("__at", 33))
-    blocks = rows.groupBy("__p").agg(F.sum(value).alias("__s"))
-    before = blocks.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    inner = F.sum(value).over(W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("__in", inner).join(before, "__p").withColumn(name, F.col("__in") + F.col("__b")).select(*df.columns, name)
-
-
 def split_by_group(records: DataFrame, group: Column, ratios: dict[str, float] | None = None, seed: int = 1337, label: str = "groups") -> DataFrame:
     """``records`` with ``part``; all rows of a group get the same one."""
     r = records.withColumn("__g", group.cast("string"))

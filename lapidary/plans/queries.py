@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lapidary.functions import arrays as A
@@ -20,6 +19,7 @@ from lapidary.operators import keys as K
 from lapidary.operators import language as G
 from lapidary.operators import ledger as L
 from lapidary.operators import splits as S
+from lapidary.session import ranked_within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,15 +41,19 @@ def field(name: str):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Documents split by document; evaluation texts that stand in train are removed; census of what is left."""
-    docs = table(spark, d, "documents")
-    split = S.split_document(docs.select("doc_id", "source", "text"))
-    train = split.where("part = 'train'").select(F.trim("text").alias("t")).distinct()
-    flagged = split.withColumn("t", F.trim("text")).join(train.withColumn("there", F.lit(True)), "t", "left")
+    """Documents split by document; evaluation texts that stand in train are removed; census of what is left.
+
+    Texts stay where they are read: a digest of the trimmed text and the number
+    of its tokens are all that moves.
+    """
+    docs = table(spark, d, "documents").select("doc_id", F.md5(F.trim("text")).alias("t"), T.token_count("text").alias("tokens"))
+    split = S.split_document(docs)
+    train = split.where("part = 'train'").select("t").distinct()
+    flagged = split.join(train.withColumn("there", F.lit(True)), "t", "left")
     gone = (F.col("part") != "train") & F.coalesce("there", F.lit(False))
     return flagged.groupBy("part").agg(
         F.count("*").alias("n_checked"), F.count_if(gone).alias("removed_exact"), F.countDistinct(F.when(~gone, F.col("doc_id"))).alias("n_docs"),
-        F.sum(F.when(~gone, T.token_count("text")).otherwise(0)).alias("n_tokens"),
+        F.sum(F.when(~gone, F.col("tokens")).otherwise(0)).alias("n_tokens"),
     )
 
 
@@ -204,7 +208,8 @@ def j1_catalogue_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def j4_exact_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation rows whose trimmed text stands in train (left semi join)."""
-    s = S.split_document(table(spark, d, "records").where(field("text").isNotNull())).select("ord", "part", F.trim(field("text")).alias("t"))
+    r = table(spark, d, "records").where(field("text").isNotNull()).select("ord", "doc_id", F.md5(F.trim(field("text"))).alias("t"))
+    s = S.split_document(r)
     return s.where("part <> 'train'").join(s.where("part = 'train'").select("t").distinct(), "t", "left_semi").select("ord", "part")
 
 
@@ -362,7 +367,8 @@ def _slots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     counts = r.select(F.explode("s").alias("sign")).groupBy("sign").agg(F.count("*").alias("c"))
     ranked = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "sign", "c"))).alias("x"), F.sum("c").alias("t"))  # the alphabet
     lists = ranked.select(F.transform("x", lambda e: e["sign"]).alias("labels"), F.transform("x", lambda e: e["c"] / F.col("t")).alias("probs"))
-    return r.select("ord", F.element_at("s", -1).alias("truth")).crossJoin(F.broadcast(lists)), counts  # one row
+    slots = r.groupBy(F.element_at("s", -1).alias("truth")).agg(F.count("*").alias("weight"))  # slots with the same list and truth are equal
+    return slots.crossJoin(F.broadcast(lists)), counts  # one row
 
 
 @query
@@ -413,9 +419,9 @@ def g24_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 def g25_chrf_bleu(spark: SparkSession, d: str) -> DataFrame:
     """The first against the second translation of a document position: German texts of neighbouring records."""
     r = table(spark, d, "records").where(field("translation_de").isNotNull())
-    w = W.partitionBy("corpus", "doc_id").orderBy("ord")
-    p = r.select(F.col("ord").alias("id"), field("translation_de").alias("hyp"), F.lag(field("translation_de")).over(w).alias("ref")).where("ref is not null")
-    return E.corpus_chrf(p).crossJoin(E.corpus_chrf(p, 2).withColumnRenamed("chrf", "chrf_plus")).crossJoin(E.corpus_bleu(p))  # one row each
+    at = ranked_within(r.select("corpus", "doc_id", "ord", field("translation_de").alias("t")), ["corpus", "doc_id"], ["ord"], "k")
+    later, earlier = at.select("corpus", F.coalesce("doc_id", F.lit("\x00")).alias("d"), "k", F.col("ord").alias("id"), F.col("t").alias("hyp")), at.select("corpus", F.coalesce("doc_id", F.lit("\x00")).alias("d"), (F.col("k") + 1).alias("k"), F.col("t").alias("ref"))
+    return E.corpus_scores(later.join(earlier, ["corpus", "d", "k"]).select("id", "hyp", "ref"))
 
 
 @query

@@ -56,6 +56,8 @@ def shared_root(spark: SparkSession) -> str:
     app = sc.applicationId
     if app not in _roots:
         base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not base and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="lapidary-")
             sc.setCheckpointDir(base)
@@ -74,6 +76,57 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass  # the session is gone; the folder belongs to the cluster's own clean-up
 
 
+class Files:
+    """Small files (manifests, ledger events) on whatever file system a path names, through Hadoop's interface."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def exists(self, path: str) -> bool:
+        fs, p = self._at(path)
+        return fs.exists(p)
+
+    def make(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
+    def list(self, path: str, ending: str = ".jsonl") -> list[str]:
+        fs, p = self._at(path)
+        found = [s.getPath().toString() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [f for f in found if f.endswith(ending)]
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        f = fs.open(p)
+        try:
+            return bytes(f.readAllBytes()).decode("utf-8")
+        finally:
+            f.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Replace the file as a whole: written beside it, forced to disk, renamed into place."""
+        fs, p = self._at(path)
+        tmp = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex[:8]}")
+        f = fs.create(tmp, True)
+        try:
+            f.write(text.encode("utf-8"))
+            f.hsync()
+        finally:
+            f.close()
+        if not fs.rename(tmp, p):  # a store whose rename does not replace
+            fs.delete(p, False)
+            if not fs.rename(tmp, p):
+                raise OSError(f"cannot write {path}")
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -128,3 +181,15 @@ def ranked_within(df: DataFrame, groups: list[str], order: list[str], name: str
         cond = cond & F.col(g).eqNullSafe(F.col(f"__rw_g{i}"))
     out = left.join(right, cond).withColumn(name, F.col(at) - F.col("__rw_first") + F.col("__rw_off"))
     return out.select(*df.columns, name)
+
+
+def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Inclusive running sum in a global order: per range partition, plus the sums of the partitions before."""
+    from pyspark.sql import Window as W
+
+    rows = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "running")
+    rows = rows.withColumn("__p", F.shiftright("__at", 33))
+    blocks = rows.groupBy("__p").agg(F.sum(value).alias("__s"))
+    before = blocks.select("__p", F.coalesce(F.sum("__s").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    inner = F.sum(value).over(W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("__in", inner).join(before, "__p").withColumn(name, F.col("__in") + F.col("__b")).select(*df.columns, name)

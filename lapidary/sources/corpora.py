@@ -20,25 +20,24 @@ from lapidary.sources.base import NotIngestable, as_records, files, lines, pairs
 _PARSED = "rel string, i int, doc_id string, sent_id string, fields map<string,string>, meta map<string,string>"
 
 
+_BLANK_LINES = re.compile(r"\n\s*\n")
+_HEADER = re.compile(r"^# (newdoc id|sent_id|text_en|text) = (.*)$", re.M)
+
+
 def _conllu_text(rel: str, text: str) -> Iterator[tuple]:
-    top = rel.split("/")[0]
-    doc = f"{top}/{rel.rsplit('/', 1)[-1].rsplit('.', 1)[0]}"
+    """Sentences of a file: blocks between blank lines; headers of a block without text go on into the next."""
+    top, name = rel.split("/")[0], rel.rsplit("/", 1)[-1]
+    doc = f"{top}/{name.rsplit('.', 1)[0]}"
     meta = {"subcorpus": top, "dialect": "bohairic" if "bohairic" in top.lower() else "sahidic"}
-    head: dict[str, str] = {}
-    for line in [*text.split("\n"), ""]:
-        m = re.match(r"# (newdoc id|sent_id|text_en|text) = (.*)", line)
-        if m:
-            name, value = m[1], m[2].strip()
-            if name == "newdoc id":
-                doc = value or doc
-            elif name == "sent_id":
-                head = {"sent_id": value}  # what stood before it is lost
-            else:
-                head[name] = value
-        elif not line.strip() and head.get("text"):
-            fields = {"text": head["text"], **({"translation_en": head["text_en"]} if head.get("text_en") else {})}
-            yield doc, head.get("sent_id"), fields, meta
-            head = {}
+    headers: list[tuple[str, str]] = []
+    for block in _BLANK_LINES.split(text):
+        headers += [(k, v.strip()) for k, v in _HEADER.findall(block)]
+        doc = next((v for k, v in reversed(headers) if k == "newdoc id" and v), doc)
+        begins = [i for i, (k, _) in enumerate(headers) if k == "sent_id"]
+        own = dict(headers[begins[-1] if begins else 0 :])  # what stands before the last sentence id is lost
+        if own.get("text"):
+            yield doc, own.get("sent_id"), {k: v for k, v in (("text", own["text"]), ("translation_en", own.get("text_en"))) if v}, meta
+            headers = []
 
 
 def _per_file(parse, df: DataFrame) -> DataFrame:
