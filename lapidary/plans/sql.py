@@ -1,11 +1,13 @@
 """SQL equivalents of the queries, in DuckDB's dialect.
 
-Queries without an entry: those that need NFKC (b1, d1), third-party definitions
-(g25, g26), random damage (r10, r15) or the store (i4).
+Queries without an entry: third-party definitions (g25, g26), random damage (r10,
+r15, r17), digests of written files (i4) and the smoke chain (m11).
 """
 
 from __future__ import annotations
 
+from lapidary.plans.sql_text import bytewise, normed
+
 # fixed values: Unicode white space
 BLANK = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -54,26 +56,35 @@ SLOTS = f"""
   _f AS (SELECT ord, s, min(i) AS i FROM _s GROUP BY 1, 2),
   counts AS (SELECT s AS sign, count(*) AS c FROM _f GROUP BY 1),
   slots AS (SELECT ord, arg_max(s, i) AS truth FROM _f GROUP BY 1),
-  top AS (SELECT sign, c, row_number() OVER (ORDER BY c DESC, sign) AS r FROM (SELECT * FROM counts ORDER BY c DESC, sign LIMIT 200)),
+  top AS (SELECT sign, c, row_number() OVER (ORDER BY c DESC, sign) AS r FROM counts),
   cum AS (SELECT sign, r, sum(c) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING) AS cc, sum(c) OVER () AS t FROM top),
   bins AS (SELECT sign, CASE WHEN r < n // 3 THEN 'frequent' WHEN r < n * 2 // 3 THEN 'medium' ELSE 'rare' END AS bin
            FROM (SELECT sign, row_number() OVER (ORDER BY c DESC, sign) - 1 AS r, count(*) OVER () AS n FROM counts)),
   scores AS (SELECT coalesce(cc, (SELECT max(t) FROM cum)) AS s FROM slots LEFT JOIN cum ON truth = sign),
   qhat AS (SELECT s AS q, n FROM (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, count(*) OVER () AS n FROM scores)
-           WHERE r = CASE WHEN ceil((n + 1) * 0.5) < n THEN ceil(ceil((n + 1) * 0.5) / n * (n - 1)) ELSE n - 1 END)"""
+           WHERE r = CASE WHEN ceil((n + 1) * CAST(0.9 AS DOUBLE)) < n THEN ceil(ceil((n + 1) * CAST(0.9 AS DOUBLE)) / n * (n - 1)) ELSE n - 1 END)"""
 
 TRAIN_EVAL = """
   _p AS (SELECT ord, min(part) AS part FROM split_parts WHERE scheme = 'random' AND tag = 'v1' GROUP BY 1),
   _x AS (SELECT part, fields['text'] AS t, records.ord FROM records JOIN _p USING (ord) WHERE fields['text'] IS NOT NULL)"""
 
 PICKS = """
-  _n AS (SELECT *, row_number() OVER (ORDER BY source) - 1 AS k FROM _s),
+  _n AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM _s),
   _m AS (SELECT b, CAST('0x' || substr(sha256('1234|' || b || '|' || slot), 1, 8) AS BIGINT) % (SELECT count(*) FROM _n) AS k
-         FROM (SELECT unnest(range(200)) AS b) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM _n))) AS slot))"""
+         FROM (SELECT unnest(range(1000)) AS b) CROSS JOIN (SELECT unnest(range((SELECT count(*) FROM _n))) AS slot))"""
 
 FREQ = """
   _alpha AS (SELECT unnest(string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')) AS ch, unnest(range(26)) AS pos)"""
 
+# German translations with their part, the removal of exact and near copies of train
+DEDUP = f"""
+  _t AS (SELECT ord, doc_id, coalesce(fields['translation_de'], '') AS v FROM records WHERE {has("fields", "translation_de")}), {group_split("_t", "doc_id", "document")},
+  {normed("_q", "_t", "ord")}, _u AS (SELECT _t.ord, part, 1 AS g, coalesce(n, '') AS n FROM _t JOIN _g ON doc_id IS NOT DISTINCT FROM grp LEFT JOIN _q USING (ord)), {bytewise("_a", "_u", "g")},
+  _b AS (SELECT n, length(n) AS l, translate(n, (SELECT f FROM _a), (SELECT t FROM _a)) AS x, bool_or(part = 'train') AS tr, bool_or(part <> 'train') AS ev FROM _u GROUP BY 1),
+  _e AS (SELECT *, CAST(floor(l * CAST(0.1 AS DOUBLE)) AS INT) AS k FROM _b WHERE ev AND NOT tr),
+  _z AS (SELECT DISTINCT e.n FROM _e e JOIN _b t ON t.tr AND abs(e.l - t.l) <= e.k WHERE e.k > 0 AND levenshtein(e.x, t.x) <= e.k),
+  flags AS (SELECT ord, part, CASE WHEN part = 'train' THEN NULL WHEN n IN (SELECT n FROM _b WHERE tr) THEN 'exact' WHEN n IN (SELECT n FROM _z) THEN 'near' END AS removed FROM _u)"""
+
 SQL: dict[str, str] = {
     "flagship_split_census": f"""
       WITH {group_split("documents", "CAST(doc_id AS VARCHAR)", "document")},
@@ -83,6 +94,13 @@ SQL: dict[str, str] = {
              sum(CASE WHEN gone THEN 0 ELSE {tokens("text")} END) AS n_tokens FROM y GROUP BY 1""",
     "a1_jsonl_round_trip": """
       SELECT ord, corpus, doc_id, sent_id, cardinality(fields) AS n_fields, cardinality(meta) AS n_meta, length(fields['text']) AS text_length FROM records""",
+    "b1_normalized": f"""
+      WITH _t AS (SELECT ord, fields['translation_de'] AS v FROM records WHERE {has("fields", "translation_de")}), {normed("_q", "_t", "ord")}
+      SELECT _t.ord, CASE WHEN v IS NOT NULL THEN coalesce(n, '') END AS norm FROM _t LEFT JOIN _q USING (ord)""",
+    "d1_dedup_flags": f"WITH {DEDUP} SELECT ord, part, removed FROM flags",
+    "d1_dedup_report": f"""
+      WITH {DEDUP} SELECT part, count(*) AS checked, count(*) FILTER (removed = 'exact') AS removed_exact, count(*) FILTER (removed = 'near') AS removed_near, count(*) FILTER (removed IS NULL) AS kept
+      FROM flags WHERE part <> 'train' GROUP BY 1""",
     "b2_signs": f"SELECT ord, unnest(list_distinct({signs("fields['hieroglyphs']")})) AS sign FROM records",
     "b3_prepared_text": f"""
       SELECT ord, trim(regexp_replace(regexp_replace(fields['hieroglyphs'], '<g>[^<]*</g>', '▯', 'g'), '{BLANK}+', ' ', 'g')) AS prepared
@@ -152,8 +170,8 @@ SQL: dict[str, str] = {
       y AS (SELECT ord, part, t FROM x JOIN _g ON doc_id IS NOT DISTINCT FROM grp)
       SELECT ord, part FROM y WHERE part <> 'train' AND t IN (SELECT t FROM y WHERE part = 'train')""",
     "d5_new_ledger_lines": """
-      WITH l AS (SELECT trim(concat_ws('|', run_id, status, completed_at)) AS line, batch_id % 2 AS b FROM run_records)
-      SELECT DISTINCT line FROM l WHERE b = 1 AND line <> '' AND line NOT IN (SELECT line FROM l WHERE b = 0)""",
+      WITH l AS (SELECT trim(concat_ws('|', run_id, status, completed_at)) AS line, batch_id AS b FROM run_records)
+      SELECT line FROM l WHERE line <> '' GROUP BY 1 HAVING min(b) > (SELECT min(b) FROM l)""",
     "g1_ingest_stats": f"""
       SELECT corpus, count(*) AS n_records, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS n_docs, sum({tokens("fields[primary_field]")}) AS n_tokens_primary
       FROM records LEFT JOIN corpora USING (corpus) GROUP BY 1""",
@@ -234,11 +252,11 @@ SQL: dict[str, str] = {
       h AS (SELECT coalesce(r <= (SELECT size FROM z), false)::INT AS hit FROM slots LEFT JOIN cum ON truth = sign)
       SELECT round(avg(hit), 9) AS coverage, round((SELECT size FROM z)::DOUBLE, 9) AS mean_size, (SELECT size FROM z)::DOUBLE AS median_size, count(*) AS n FROM h""",
     "g23_block_bootstrap": f"""
-      WITH _s AS (SELECT source, sum(n_chars) AS s, count(*) AS c FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1), {PICKS},
+      WITH _s AS (SELECT doc_id, sum(n_chars) AS s, count(*) AS c FROM documents WHERE n_chars IS NOT NULL GROUP BY 1), {PICKS},
       v AS (SELECT b, sum(s) / sum(c) AS v FROM _m JOIN _n USING (k) GROUP BY 1)
       SELECT round((SELECT sum(s) / sum(c) FROM _s), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, (SELECT count(*) FROM _s) AS n_docs FROM v""",
     "g24_paired_bootstrap": f"""
-      WITH _s AS (SELECT source, sum(length(text)) AS sa, sum(length(text) - doc_id % 7 + 3) AS sb, count(*) AS c FROM documents WHERE source IS NOT NULL GROUP BY 1), {PICKS},
+      WITH _s AS (SELECT doc_id, sum(length(text)) AS sa, sum(length(text) - doc_id % 7 + 3) AS sb, count(*) AS c FROM documents GROUP BY 1), {PICKS},
       o AS (SELECT (sum(sa) - sum(sb)) / sum(c) AS d FROM _s),
       v AS (SELECT b, (sum(sa) - sum(sb)) / sum(c) AS v FROM _m JOIN _n USING (k) GROUP BY 1),
       q AS (SELECT quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, avg((v * sign((SELECT d FROM o)) <= 0)::INT) AS rev FROM v)
