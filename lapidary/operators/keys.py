@@ -76,3 +76,8 @@ def cohort_ids(df: DataFrame, corpus: str, meta_keys: tuple[str, ...] = ("dateNo
 def running_index(df: DataFrame, group: str, order: list[str], width: int = 5, name: str = "index") -> DataFrame:
     """Zero-based index within a group, as digits."""
     return ranked_within(df, [group], order, name).withColumn(name, F.lpad(F.col(name).cast("string"), width, "0"))
+
+
+def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` rows in a total order, nulls first, with their place; a bounded heap per task, no global sort of all rows."""
+    return ranked_within(df.orderBy(*order).limit(n), [], order, "place")

@@ -86,3 +86,25 @@ def pairs(**cols: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
+
+
+def write_files(contents: DataFrame, root: str) -> int:
+    """Write ``contents(rel, content)``, a small file a row, below ``root``; returns the number of files.
+
+    Tasks write their own rows through Arrow's file systems; a repeated task
+    writes the same files again.  A null content is an empty file.
+    """
+
+    def put(parts):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for pdf in parts:
+            for rel, content in zip(pdf["rel"], pdf["content"]):
+                path = f"{base}/{rel}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as f:
+                    f.write((content or "").encode("utf-8", "surrogatepass"))
+            yield pdf[["rel"]]
+
+    return contents.select("rel", "content").mapInPandas(put, "rel string").count()
