@@ -42,3 +42,24 @@ def check_seeds(seeds: list[int], least: int = 3) -> list[int]:
     if any(isinstance(s, bool) or not isinstance(s, int) for s in seeds) or len(set(seeds)) != len(seeds) or len(seeds) < least:
         raise ValueError(f"needs {least} or more distinct integer seeds")
     return seeds
+
+
+def read_configs(spark, root: str):
+    """``(run_id, family, hypothesis, seed, config_hash, data_version, split_version)`` of the YAML files below ``root``, a folder per run."""
+    from lapidary.functions.hashing import config_hash
+    from lapidary.sources.base import whole_files
+
+    names = ("family", "hypothesis", "data_version", "split_version")
+
+    def parse(parts):
+        import pandas as pd
+
+        for pdf in parts:
+            rows = []
+            for rel, raw in zip(pdf["rel"], pdf["content"]):
+                c = yaml.safe_load(bytes(raw)) or {}
+                run = rel.split("/")[-2] if "/" in rel else rel.rsplit(".", 1)[0]
+                rows.append((run, *(None if c.get(k) is None else str(c[k]) for k in names), c.get("seed"), config_hash(c)))
+            yield pd.DataFrame(rows, columns=["run_id", *names, "seed", "config_hash"]).astype({"seed": "Int64"})
+
+    return whole_files(spark, root, "*.yaml").mapInPandas(parse, ", ".join(["run_id string", *(f"{n} string" for n in names), "seed long", "config_hash string"]))

@@ -33,10 +33,11 @@ def forbidden_lines(spark: SparkSession, root: str, pattern: str, glob: str = "*
 
 
 def stale_reports(spark: SparkSession, root: str, source: str = ".tex", product: str = ".pdf") -> DataFrame:
-    """Sources whose product is missing or older."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime")
-    stem = lambda e: F.regexp_replace("path", "\\" + e + "$", "")
-    src = f.where(F.col("path").endswith(source)).select(stem(source).alias("stem"), F.col("modificationTime").alias("written"))
-    out = f.where(F.col("path").endswith(product)).select(stem(product).alias("stem"), F.col("modificationTime").alias("built"))
-    j = src.join(out, "stem", "left")
-    return j.where("built is null or built < written").select("stem", F.when(F.col("built").isNull(), "missing").otherwise("older").alias("why"))
+    """``(stem, why)`` of main documents (those with a document class) whose product is missing or older, or that carry no report stamp."""
+    read = lambda e: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{e}").load(root)
+    stem = lambda e: F.regexp_replace("path", "\\" + e + "$", "").alias("stem")
+    text = F.decode("content", "UTF-8")
+    src = read(source).where(text.contains("\\documentclass")).select(stem(source), F.col("modificationTime").alias("written"), F.regexp_extract(text, r"\\newcommand\{\\ReportStamp\}\{([^}]*)\}", 1).alias("stamp"))
+    out = read(product).select(stem(product), F.col("modificationTime").alias("built"))
+    why = F.when(F.col("built").isNull(), "missing").when(F.col("built") < F.col("written"), "older").when(F.col("stamp") == "", "no stamp")
+    return src.join(out, "stem", "left").select("stem", why.alias("why")).where("why is not null")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from lapidary.sources import corpora as C
-from lapidary.sources.base import NotIngestable
+from lapidary.sources.base import NotIngestable, require_raw
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def _hosted(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def read(spark: SparkSession, root: str) -> DataFrame:
         from lapidary.operators.keys import with_ord
 
-        raw = spark.read.parquet(root)
+        raw = spark.read.parquet(require_raw(root, f"download the data set {name} into {root}"))
         return C.read_hosted(with_ord(raw.withColumn("__at", C.F.struct("_metadata.file_path", "_metadata.row_index")), ["__at"], "i").drop("__at"), name)
 
     return read

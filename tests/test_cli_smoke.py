@@ -38,6 +38,15 @@ def test_commands(spark, tmp_path, capsys):
     assert "| hebrew_morphhb | monolingual | ingested | 60 | 12 | 120 | - |" in run("census", root)[1]
     code, out = run("split", "hebrew_morphhb", "document_heldout", root)
     assert code == 0 and sum(json.loads(out)["sizes"].values()) == 60
+    info = json.loads((tmp_path / "root/hebrew_morphhb/splits/document_heldout/v1/_split_info.json").read_text())
+    assert info == json.loads(out) and spark.read.parquet(f"{root}/hebrew_morphhb/splits/document_heldout/v1").count() == 60
+    assert json.loads((tmp_path / "root/census/census.json").read_text())["hebrew_morphhb"]["n_records"] == 60
+    manifest = json.loads((tmp_path / "root/hebrew_morphhb/manifest.json").read_text())
+    assert cli.data_versions(spark, root, ["hebrew_morphhb"] * 2) == "+".join([manifest["data_version"]] * 2)
+    code, out = run("split", "hebrew_morphhb", "all", root, "--tag", "v2", "--dedup-max-norm-dist", "0")
+    assert code == 0 and [json.loads(x)["scheme"] for x in out.splitlines()] == ["random", "document_heldout", "dedup"]
+    assert all(r["removed_near"] == 0 for x in out.splitlines() for r in json.loads(x)["report"])
+    assert run("ingest", "all", tmp_path / "none", root)[0] == 1
     assert run("freeze", "hebrew_morphhb", "document_heldout", root)[0] == 0 and run("verify", root) == (0, "all frozen parts are intact\n")
     led = L.Ledger(spark, str(tmp_path / "led"))
     assert run("ledger", tmp_path / "led", "list")[1] == "the ledger is empty\n"
@@ -49,6 +58,21 @@ def test_commands(spark, tmp_path, capsys):
     assert run("ledger", tmp_path / "led", "compact")[1] == "compacted 2 event(s)\n"
 
 
+def test_recovery_and_gates(spark, tmp_path, capsys):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "slurm-7.out").write_text("[train] 9 params -> runs/20260105-003157-12d687\n[train] done: 20 steps, loss 2.5 -> 1.0, best_eval=0.5\n")
+    (tmp_path / "runs" / "20260105-003157-12d687").mkdir(parents=True)
+    (tmp_path / "runs" / "20260105-003157-12d687" / "config.yaml").write_text("family: f\nhypothesis: h\nseed: 3\n")
+    run = lambda *a: (cli.main([str(x) for x in a], spark), capsys.readouterr().out)
+    args = ("recover", tmp_path / "logs", tmp_path / "runs", tmp_path / "led")
+    assert run(*args) == (0, "20260105-003157-12d687\n") and run(*args, "--apply")[0] == 0 and run(*args) == (0, "no run is missing\n")
+    r = L.Ledger(spark, str(tmp_path / "led")).runs().first()
+    assert (r["family"], r["seed"], r["status"]) == ("f", 3, "completed")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("x = Auto" + "Model\n")
+    assert run("gate", "sources", tmp_path / "src")[0] == 1 and run("gate", "sources", tmp_path / "src", "--pattern", "zzz") == (0, "clean\n")
+
+
 def test_reconstruct(spark, tmp_path):
     led = L.Ledger(spark, str(tmp_path))
     logs = spark.createDataFrame([("20260105-003157-12d687", "7", 10, float("inf"))], "run_id string, job string, steps long, best_eval double")

@@ -127,8 +127,13 @@ def test_logs_gates_reports(spark, tmp_path):
     put(tmp_path, "s/a.py", "import os\nfrom_pretrained('x')\n")
     put(tmp_path, "s/ok/b.py", "from_pretrained('x')\n")
     assert [x["file"] for x in logs.forbidden_lines(spark, str(tmp_path / "s"), r"from_pretrained\(", exclude="ok/").collect()] == ["a.py"]
-    put(tmp_path, "r/x.tex", "x")
-    assert [x["why"] for x in logs.stale_reports(spark, str(tmp_path / "r")).collect()] == ["missing"]
+    put(tmp_path, "r/x.tex", "\\documentclass{a}")
+    put(tmp_path, "r/part.tex", "no main file")
+    put(tmp_path, "r/y.tex", "\\documentclass{a} \\newcommand{\\ReportStamp}{v1}")
+    put(tmp_path, "r/z.tex", "\\documentclass{a}")
+    for f in "yz":
+        put(tmp_path, f"r/{f}.pdf", "v1")
+    assert sorted(x["why"] for x in logs.stale_reports(spark, str(tmp_path / "r")).collect()) == ["missing", "no stamp"]
 
 
 def test_config(tmp_path):
