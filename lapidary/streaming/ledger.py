@@ -24,15 +24,48 @@ def family_activity(events: DataFrame, window: str = "1 hour", late: str = "1 da
 
 
 def keep_runs(spark: SparkSession, folder: str, view: str, checkpoint: str) -> StreamingQuery:
-    """Maintain the folded view of runs at ``view``: each micro-batch adds its events to a log and rewrites the view from it.
+    """Maintain the folded view of runs at ``view``, for :func:`read_view`.
 
-    Batches are written under their number, so a repeated one replaces itself.
+    A micro-batch adds its events to a log, under its number, so a repeated one
+    replaces itself.  Only the runs it touches are folded again; the others are
+    taken from the version before.  A version is a folder of its own and becomes
+    current when it is complete, so readers never see half of one; the last but
+    one is deleted.
     """
     from lapidary.operators.ledger import fold
+    from lapidary.session import Files
+
+    files = Files(spark)
 
     def update(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("at", F.struct(F.lit(number).alias("batch"), F.col("at").alias("t"), F.monotonically_increasing_id().alias("i")))
         rows.write.mode("overwrite").parquet(f"{view}/events/batch={number}")
-        fold(spark.read.parquet(f"{view}/events").drop("batch")).write.mode("overwrite").parquet(f"{view}/runs")
+        touched = spark.read.parquet(f"{view}/events/batch={number}").select("run_id").distinct()
+        events, current = spark.read.parquet(f"{view}/events").drop("batch"), _current(files, view)
+        if current is not None and current < number:
+            runs = fold(events.join(touched, "run_id", "left_semi"))
+            runs = runs.unionByName(spark.read.parquet(f"{view}/runs/{current}").join(touched, "run_id", "left_anti"))
+        else:
+            runs = fold(events)
+        runs.write.mode("overwrite").parquet(f"{view}/runs/{number}")
+        files.write(f"{view}/current", f"{number}\n")
+        for old in range(number - 2, -1, -1):
+            if not files.exists(f"{view}/runs/{old}"):
+                break
+            files.delete(f"{view}/runs/{old}")
 
     return event_stream(spark, folder).writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _current(files, view: str) -> int | None:
+    return int(files.read(f"{view}/current")) if files.exists(f"{view}/current") else None
+
+
+def read_view(spark: SparkSession, view: str) -> DataFrame:
+    """The current version of the view of runs; an error if there is none yet."""
+    from lapidary.session import Files
+
+    current = _current(Files(spark), view)
+    if current is None:
+        raise FileNotFoundError(f"no view of runs at {view}")
+    return spark.read.parquet(f"{view}/runs/{current}")

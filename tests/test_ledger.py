@@ -84,7 +84,7 @@ def test_lines_and_recovery(spark):
 
 
 def test_stream(spark, tmp_path):
-    from lapidary.streaming.ledger import event_stream, family_activity, keep_runs
+    from lapidary.streaming.ledger import event_stream, family_activity, keep_runs, read_view
 
     led = L.Ledger(spark, str(tmp_path / "l"))
     ts = "2026-01-05T00:31:57+00:00"
@@ -92,10 +92,11 @@ def test_stream(spark, tmp_path):
         led._append({"event": "register", "run_id": f"r{i}", "timestamp": ts, "family": "f", "seed": i})
     shards, view, cp = str(tmp_path / "l" / "ledger.d"), str(tmp_path / "v"), str(tmp_path / "c")
     keep_runs(spark, shards, view, cp).awaitTermination()
-    assert spark.read.parquet(f"{view}/runs").count() == 3
+    assert read_view(spark, view).count() == 3
     led._append({"event": "register", "run_id": "r9", "timestamp": ts, "family": "g", "seed": 9})
+    led._append({"event": "complete", "run_id": "r1", "timestamp": ts, "status": "failed", "notes": "late"})
     keep_runs(spark, shards, view, cp).awaitTermination()
-    assert spark.read.parquet(f"{view}/runs").count() == 4
+    assert {r["run_id"]: r["status"] for r in read_view(spark, view).collect()} == {"r0": "registered", "r1": "failed", "r2": "registered", "r9": "registered"}
     q = family_activity(event_stream(spark, shards)).writeStream.format("memory").queryName("activity").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r["family"]: r["n"] for r in spark.table("activity").collect()} == {"f": 3, "g": 1}
+    assert {r["family"]: r["n"] for r in spark.table("activity").where("event = 'register'").collect()} == {"f": 3, "g": 1}
