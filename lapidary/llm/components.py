@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.session import stage
+from lapidary.session import release, stage
 
 
 def _with_min(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours move to the least of them
         sm = _with_min(big)
         small = sm.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(sm.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        cur = stage(small, "cc")
+        old, cur = cur, stage(small, "cc")
+        release(old)  # written and read for the last time
         new = _state(cur)
         if new == state:
             break

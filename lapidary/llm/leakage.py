@@ -11,8 +11,8 @@ the query terms' block maxima bounds every score of a block, blocks bounded
 below 1 are skipped, the others are scored exactly.  What is retrieved is
 verified: a run of the passage's words must be a run of the item's.
 
-The index of a stated test set is broadcast in blocks of a fixed number of
-items; each block is one pass over the corpus.
+The index of a stated test set is broadcast in blocks of at most ``ITEMS`` items
+and a table of ``DENSE`` cells; each block is one pass over the corpus.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from lapidary.functions.text import normalize_py
 K1, B = 1.2, 0.75
 ITEMS = 5_000  # items of a broadcast index
 BLOCK = 16  # items of a block
+DENSE = 1 << 24  # cells of the table of block maxima, 64 MB: fewer items where they are long
 PASSAGE = 256  # words of a passage
 
 
@@ -76,7 +77,7 @@ class Index:
         """Items (by place) whose score for the query reaches the threshold."""
         terms = self.terms
         q = np.fromiter({terms[w] for w in words if w in terms}, np.int64)
-        if not len(q) or self.most[q].sum() < 1:
+        if not len(q) or self.most[q].sum() < 1 - 1e-4:
             return []
         blocks = np.flatnonzero(self.bound[q].sum(axis=0) >= 1 - 1e-4)
         out: list[int] = []
@@ -128,7 +129,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataF
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and text <> ''")
     rows = items.select(F.col("item_id").cast("long"), "text").where("text is not null").toLocalIterator()  # the stated test set
-    out, held = None, []
+    out, held, terms = None, [], set()
 
     def search(block):
         shared = spark.sparkContext.broadcast(Index(block, run))
@@ -138,9 +139,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataF
         return y if x is None else x.unionByName(y)
 
     for r in rows:
-        held.append((r[0], normalize_py(r[1]).split()))
-        if len(held) == ITEMS:
-            out, held = plus(out, search(held)), []
+        words = normalize_py(r[1]).split()
+        if held and (len(held) == ITEMS or len(terms.union(words)) * (len(held) // BLOCK + 1) > DENSE):
+            out, held, terms = plus(out, search(held)), [], set()
+        held.append((r[0], words))
+        terms.update(words)
     if held or out is None:
         out = plus(out, search(held))
     return out.distinct()

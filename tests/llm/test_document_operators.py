@@ -109,8 +109,9 @@ def test_leaks_against_all_runs(spark, monkeypatch):
     it = [(i, set() if t is None else runs(normalize_py(t).split())) for i, t in enumerate(items)]
     want = {(d, i) for d, t in enumerate(texts) if t for i, r in it if r & runs(normalize_py(t).split())}
     table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    for block in (5000, 7):
+    for block, dense in ((5000, 1 << 24), (7, 1 << 24), (5000, 200)):
         monkeypatch.setattr(leakage, "ITEMS", block)
+        monkeypatch.setattr(leakage, "DENSE", dense)
         got = [tuple(r) for r in leakage.leaked_items(docs(spark, texts), table).collect()]
         assert set(got) == want and len(got) == len(want) and len(want) > 20
     assert leakage.leaked_items(docs(spark, texts).limit(0), table).count() == 0 and leakage.leaked_items(docs(spark, texts), table.limit(0)).count() == 0
