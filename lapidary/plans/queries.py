@@ -76,7 +76,7 @@ def a1_jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_root(spark)}/jsonl-{uuid.uuid4().hex[:8]}"
     write_jsonl(table(spark, d, "records"), path)
     back = read_jsonl(spark, path)
-    return back.select("ord", "corpus", "doc_id", "sent_id", F.size("fields").alias("n_fields"), F.size("meta").alias("n_meta"), F.length(field("text")).alias("text_length"))
+    return back.select("ord", "corpus", "doc_id", "sent_id", F.size("fields").alias("n_fields"), F.size("meta").alias("n_meta"), *[field(k).alias(k) for k in ("text", "hieroglyphs", "translation_de", "src")], *[F.col("meta")[k].alias(k) for k in ("authors", "dateNotBefore")])
 
 
 # -- scalar text functions
@@ -421,7 +421,8 @@ def g25_chrf_bleu(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "records").where(field("translation_de").isNotNull())
     at = ranked_within(r.select("corpus", "doc_id", "ord", field("translation_de").alias("t")), ["corpus", "doc_id"], ["ord"], "k")
     later, earlier = at.select("corpus", F.coalesce("doc_id", F.lit("\x00")).alias("d"), "k", F.col("ord").alias("id"), F.col("t").alias("hyp")), at.select("corpus", F.coalesce("doc_id", F.lit("\x00")).alias("d"), (F.col("k") + 1).alias("k"), F.col("t").alias("ref"))
-    return E.corpus_scores(later.join(earlier, ["corpus", "d", "k"]).select("id", "hyp", "ref"))
+    scores = E.corpus_scores(later.join(earlier, ["corpus", "d", "k"]).select("id", "hyp", "ref"))
+    return scores.select(*[F.round(c, 6).alias(c) for c in ("chrf", "chrf_plus", "bleu")])
 
 
 @query

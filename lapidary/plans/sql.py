@@ -1,7 +1,7 @@
 """SQL equivalents of the queries, in DuckDB's dialect.
 
-Queries without an entry: third-party definitions (g25, g26), random damage (r10,
-r15, r17), digests of written files (i4) and the smoke chain (m11).
+Queries without an entry: random damage (r10, r15, r17), digests of written files
+(i4) and the smoke chain (m11).
 """
 
 from __future__ import annotations
@@ -85,7 +85,57 @@ DEDUP = f"""
   _z AS (SELECT DISTINCT e.n FROM _e e JOIN _b t ON t.tr AND abs(e.l - t.l) <= e.k WHERE e.k > 0 AND levenshtein(e.x, t.x) <= e.k),
   flags AS (SELECT ord, part, CASE WHEN part = 'train' THEN NULL WHEN n IN (SELECT n FROM _b WHERE tr) THEN 'exact' WHEN n IN (SELECT n FROM _z) THEN 'near' END AS removed FROM _u)"""
 
+
+
+def grams(kind: str, pairs: str, orders: int) -> str:
+    """CTE ``kind(id, n, m, h, r)``: matched, hypothesis and reference n-grams of the lists ``h`` and ``r`` of ``pairs(id, h, r)``."""
+    side = lambda c: f"(SELECT id, n, array_to_string({c}[i : i + n - 1], chr(31)) AS g, count(*) AS k FROM (SELECT id, n, {c}, unnest(range(1, len({c}) - n + 2)) AS i FROM {pairs}, (SELECT unnest(range(1, {orders + 1})) AS n)) GROUP BY ALL)"
+    return f"""
+      _m{kind} AS (SELECT a.id, a.n, sum(least(a.k, b.k)) AS m FROM {side("h")} a JOIN {side("r")} b USING (id, n, g) GROUP BY 1, 2),
+      {kind} AS (SELECT p.id, n, coalesce(m, 0) AS m, greatest(len(h) - n + 1, 0) AS h, greatest(len(r) - n + 1, 0) AS r FROM {pairs} p CROSS JOIN (SELECT unnest(range(1, {orders + 1})) AS n) LEFT JOIN _m{kind} USING (id, n))"""
+
+
+def f_score(stats: str) -> str:
+    """chrF of a relation ``(m, h, r)``, a row an order."""
+    return f"SELECT CASE WHEN p + q > 0 THEN 100 * 5 * p * q / (4 * p + q) ELSE 0 END AS f FROM (SELECT avg(m / h) AS p, avg(m / r) AS q FROM ({stats}) WHERE h > 0 AND r > 0)"
+
+
+def characters(x: str) -> str:
+    return f"regexp_extract_all(regexp_replace({x}, '{BLANK}+', '', 'g'), '(?s).')"
+
+
+def cut_words(x: str) -> str:
+    """Words with one punctuation mark at either end taken off."""
+    mark = r"[!-/:-@\[-`{-~]"
+    return f"""flatten(list_transform({words(x)}, lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '{mark}$') THEN [w[1 : length(w) - 1], w[length(w) :]]
+      WHEN length(w) > 1 AND regexp_matches(w, '^{mark}') THEN [w[1 : 1], w[2 :]] ELSE [w] END))"""
+
+
+def script_tokens(x: str) -> str:
+    """Tokens of the standard evaluation scripts."""
+    x = f"' ' || trim({x}) || ' '"
+    for a, b in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return words(x)
+
+
+PAIRS = """
+  _r AS (SELECT ord, fields['translation_de'] AS t, lag(fields['translation_de']) OVER (PARTITION BY corpus, doc_id ORDER BY ord) AS b FROM records WHERE fields['translation_de'] IS NOT NULL),
+  _p AS (SELECT ord AS id, t, b FROM _r WHERE b IS NOT NULL)"""
+
 SQL: dict[str, str] = {
+    "g26_sentence_chrf": f"""
+      WITH p AS (SELECT ord AS id, {characters("fields['src']")} AS h, {characters("fields['tgt']")} AS r FROM records WHERE fields['src'] IS NOT NULL AND fields['tgt'] IS NOT NULL), {grams("g", "p", 6)}
+      SELECT id, round(coalesce(({f_score("SELECT m, h, r FROM g WHERE g.id = p.id")}), 0), 6) AS chrf FROM p""",
+    "g25_chrf_bleu": f"""
+      WITH {PAIRS}, _pc AS (SELECT id, {characters("t")} AS h, {characters("b")} AS r FROM _p), _pw AS (SELECT id, {cut_words("t")} AS h, {cut_words("b")} AS r FROM _p),
+      _pb AS (SELECT id, {script_tokens("t")} AS h, {script_tokens("b")} AS r FROM _p), {grams("c", "_pc", 6)}, {grams("w", "_pw", 2)}, {grams("b", "_pb", 4)},
+      s AS (SELECT 'c' AS kind, * EXCLUDE (id) FROM c UNION ALL SELECT 'w', * EXCLUDE (id) FROM w UNION ALL SELECT 'b', * EXCLUDE (id) FROM b),
+      t AS (SELECT kind, n, sum(m) AS m, sum(h) AS h, sum(r) AS r FROM s GROUP BY 1, 2),
+      z AS (SELECT *, sum((m = 0)::INT) OVER (ORDER BY n) AS z FROM t WHERE kind = 'b'),
+      l AS (SELECT sum(CASE WHEN m > 0 THEN ln(m / h) ELSE ln(1 / (pow(2, z) * h)) END) AS lp, count(*) AS k, sum(m) AS m, max(h) FILTER (n = 1) AS hl, max(r) FILTER (n = 1) AS rl FROM z WHERE h > 0)
+      SELECT round(({f_score("SELECT * FROM t WHERE kind = 'c'")}), 6) AS chrf, round(({f_score("SELECT * FROM t WHERE kind IN ('c', 'w')")}), 6) AS chrf_plus,
+             round(CASE WHEN m > 0 AND k = 4 THEN 100 * exp(lp / 4 + CASE WHEN hl >= rl THEN 0 ELSE 1 - rl / hl END) ELSE 0 END, 6) AS bleu FROM l""",
     "flagship_split_census": f"""
       WITH {group_split("documents", "CAST(doc_id AS VARCHAR)", "document")},
       x AS (SELECT d.doc_id, d.text, part FROM documents d JOIN _g ON CAST(d.doc_id AS VARCHAR) = grp),
@@ -93,7 +143,8 @@ SQL: dict[str, str] = {
       SELECT part, count(*) AS n_checked, count(*) FILTER (gone) AS removed_exact, count(DISTINCT doc_id) FILTER (NOT gone) AS n_docs,
              sum(CASE WHEN gone THEN 0 ELSE {tokens("text")} END) AS n_tokens FROM y GROUP BY 1""",
     "a1_jsonl_round_trip": """
-      SELECT ord, corpus, doc_id, sent_id, cardinality(fields) AS n_fields, cardinality(meta) AS n_meta, length(fields['text']) AS text_length FROM records""",
+      SELECT ord, corpus, doc_id, sent_id, cardinality(fields) AS n_fields, cardinality(meta) AS n_meta, fields['text'] AS text, fields['hieroglyphs'] AS hieroglyphs,
+             fields['translation_de'] AS translation_de, fields['src'] AS src, meta['authors'] AS authors, meta['dateNotBefore'] AS "dateNotBefore" FROM records""",
     "b1_normalized": f"""
       WITH _t AS (SELECT ord, fields['translation_de'] AS v FROM records WHERE {has("fields", "translation_de")}), {normed("_q", "_t", "ord")}
       SELECT _t.ord, CASE WHEN v IS NOT NULL THEN coalesce(n, '') END AS norm FROM _t LEFT JOIN _q USING (ord)""",
