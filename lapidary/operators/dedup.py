@@ -1,100 +1,30 @@
 """Removal of evaluation rows that occur in the training part, exactly or almost.
 
 A row of valid or test is near if a training text is within ``int(d · n)`` edits
-of it, n being its own length.  Candidates come from an equi-join that loses
-none: a training text is cut into disjoint chunks of q characters; k edits break
-k of them at most, so of c chunks c - k stand unchanged in the evaluation text,
-moved by k places at most.  Surviving chunks are tallied per pair, and the counts
-of some letters bound the distance from below before it is computed.  Ids and
-digests are exploded, never texts.
+of it, n being its own length; :mod:`lapidary.operators.near_texts` finds them.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_target
+from lapidary.operators.near_texts import allowed, band, near, reaching
 from lapidary.session import stage
 
-
-BAND = 1.25  # ratio of neighbouring length bands
-
-
-def _band(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
-
-
-def band_plan(most: int, d: float) -> list[tuple[int, int, int]]:
-    """``(band, q, w)`` for evaluation texts up to ``most`` characters: chunk length and width of a place bucket.
-
-    q is such that a training text of n - k characters or more has more than k
-    chunks, for every n of the band; (n - k) // (k + 1) rises with n but for
-    steps of 1 / d characters, so a few periods from the lower end suffice.
-    """
-    out, band = [], 0
-    while BAND**band <= most + 1:
-        lo, hi = max(1, int(BAND**band) - 1), int(BAND ** (band + 1)) + 1
-        ns = range(lo, min(hi, lo + int(20 / d)) + 1)
-        q = min((n - int(d * n)) // (int(d * n) + 1) for n in ns if n > 0)
-        out.append((band, max(1, q), max(8, int(d * BAND**band))))
-        band += 1
-    return out
-
-
-_LETTERS = "entrias"
-
-
-def _letters_apart(a: str, b: str) -> Column:
-    """Sum over some letters of how much their counts differ: at most twice the edit distance."""
-    count = lambda t, c: F.length(F.col(t)) - F.length(F.replace(F.col(t), F.lit(c)))
-    out = F.abs(F.length(a) - F.length(b))
-    for c in _LETTERS:
-        out = out + F.abs(count(a, c) - count(b, c))
-    return out
+MOST = 1 << 20  # a distance of less than one edit in so many characters is none
 
 
 def near_pairs(evals: DataFrame, trains: DataFrame, d: float = 0.1) -> DataFrame:
-    """``evals(id, norm)`` and ``trains(id, norm)`` of distinct texts -> ``(id)`` of the evaluation texts with a near training text.
-
-    The join key holds length band, place bucket and chunk, so a chunk that many
-    texts share meets only those where it stands in about the same place.
-    """
-    # a text becomes a hundred rows below: spread the texts first, few files may hold them
-    parts = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    evals, trains = evals.select("id", "norm").repartition(parts, "id"), trains.select("id", "norm").repartition(parts, "id")
-    n, k = F.length("norm"), F.floor(F.length("norm") * F.lit(d)).cast("int")
-    most = evals.agg(F.max(n)).first()[0] or 0
-    plan = band_plan(most, d)  # a few dozen bands
-    e = evals.where(k > 0).select("id", "norm", n.alias("n"), k.alias("k"), _band(n).alias("band"))
-    if not plan:
-        return e.select("id")
-    q_of, w_of = (F.create_map(*[x for row in plan for x in (F.lit(row[0]), F.lit(row[i]))]) for i in (1, 2))
-    q, w = F.try_element_at(q_of, F.col("band")), F.try_element_at(w_of, F.col("band"))
-    gram = lambda i: F.xxhash64(F.col("q"), F.substr("norm", i + 1, F.col("q")))
-    e = e.withColumn("q", q).withColumn("w", w).where("n >= q")
-    grams = e.select("id", "n", "k", "band", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q")), gram)).alias("p", "g"))
-    grams = grams.select("id", "n", "k", "band", "p", "g", F.floor(F.col("p") / F.col("w")).cast("int").alias("b"))
-    lo, hi = F.greatest(F.floor(n / (1 + d)), F.lit(1)), F.ceil(n / (1 - d)) + 1
-    t = trains.where(n > 0).select("id", "norm", n.alias("tn"), F.explode(F.sequence(_band(lo), _band(hi))).alias("band"))
-    t = t.withColumn("q", q).withColumn("w", w).where("tn >= q").withColumn("kt", (F.floor(F.col("tn") * d / (1 - d)) + 1).cast("int"))
-    starts = F.sequence(F.lit(0), F.col("tn") - F.col("q"), F.col("q"))
-    all_ = F.floor(F.col("tn") / F.col("q")).cast("int")  # chunks of the text
-    chunks = t.select(F.col("id").alias("tid"), "tn", "band", "kt", "w", all_.alias("c_all"), F.explode(F.transform(starts, lambda i: F.struct(i.alias("tp"), gram(i).alias("g")))).alias("c"))
-    low, high = F.greatest(F.floor((F.col("c.tp") - F.col("kt")) / F.col("w")), F.lit(0)).cast("int"), F.floor((F.col("c.tp") + F.col("kt")) / F.col("w")).cast("int")
-    chunks = chunks.select("tid", "tn", "band", "c_all", "c.tp", "c.g", F.explode(F.sequence(low, high)).alias("b"))
-    # a chunk moved by s took s insertions or deletions before it, and the rest of the difference in length after it
-    met = grams.join(chunks, ["band", "b", "g"]).where("abs(p - tp) + abs((n - tn) - (p - tp)) <= k")
-    # a chunk that stands in several places counts more than once, which loses no pair
-    tally = met.groupBy("id", "tid").agg(F.count("*").alias("same"), F.max(F.col("c_all") - F.col("k")).alias("least"))
-    cand = tally.where("same >= least").select("id", "tid")
-    x, y = evals.select("id", F.col("norm").alias("x")), trains.select(F.col("id").alias("tid"), F.col("norm").alias("y"))
-    both = cand.join(x, "id").join(y, "tid").withColumn("k", F.floor(F.length("x") * F.lit(d)).cast("int"))
-    # cheapest first: how often some frequent letters stand in either text, as each edit changes two counts by one at most
-    close = both.where(_letters_apart("x", "y") <= 2 * F.col("k")).where("levenshtein(x, y, k) >= 0")
-    return close.select("id").distinct()
+    """``evals(id, norm)`` and ``trains(id, norm)`` of distinct texts -> ``(id)`` of the evaluation texts with a near training text."""
+    if not 0 <= d < 1:
+        raise ValueError("the distance must be at least 0 and below 1")
+    n = F.length("norm")
+    least = next((x for x in range(1, MOST) if allowed(x, d) > 0), MOST)  # shorter ones have no edit
+    e = evals.select(F.col("id").alias("h"), "norm", n.alias("n")).where(F.col("n") >= least).withColumn("band", band(F.col("n")))
+    t = reaching(trains.select(F.col("id").alias("h"), "norm", n.alias("n")).where("n > 0"), d, least)
+    return near(e, t, ["band"], d).select(F.col("h").alias("id"))
 
 
 def dedup_flags(split: DataFrame, target: str, max_norm_dist: float = 0.1) -> DataFrame:

@@ -213,11 +213,16 @@ def j4_exact_overlap(spark: SparkSession, d: str) -> DataFrame:
     return s.where("part <> 'train'").join(s.where("part = 'train'").select("t").distinct(), "t", "left_semi").select("ord", "part")
 
 
+def _translated(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a German translation, without the fields and columns that deduplication does not read."""
+    r = table(spark, d, "records").where(F.map_contains_key("fields", "translation_de"))
+    return r.select("ord", "doc_id", F.map_filter("fields", lambda k, v: k == "translation_de").alias("fields"))
+
+
 @query
 def d1_dedup_flags(spark: SparkSession, d: str) -> DataFrame:
     """Exact and near removal against train on the German translations."""
-    r = table(spark, d, "records").where(F.map_contains_key("fields", "translation_de"))
-    return D.dedup_flags(S.split_document(r), "translation_de").select("ord", "part", "removed")
+    return D.dedup_flags(S.split_document(_translated(spark, d)), "translation_de").select("ord", "part", "removed")
 
 
 @query

@@ -164,6 +164,49 @@ def test_near_pairs_lose_nothing(spark):
     assert {r[0] for r in D.near_pairs(e, t).collect()} == want and want
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("d", [0.03, 0.25, 0.6])
+def test_near_pairs_at_any_distance(spark, d):
+    import random
+
+    rng = random.Random(11)
+    ev = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))) for _ in range(60)})
+    tr = sorted({"".join(c if rng.random() > d * rng.random() * 1.5 else rng.choice(["", "a", "bb"]) for c in x) for x in ev[::2]} - set(ev))
+    want = {i for i, a in enumerate(ev) if int(d * len(a)) and any(_distance(a, b) <= int(d * len(a)) for b in tr)}
+    e, t = spark.createDataFrame(list(enumerate(ev)), "id long, norm string"), spark.createDataFrame(list(enumerate(tr)), "id long, norm string")
+    assert {r[0] for r in D.near_pairs(e, t, d).collect()} == want and 0 < len(want)
+    with pytest.raises(ValueError):
+        D.near_pairs(e, t, 1.0)
+
+
+def test_near_pairs_move_texts_not_chunks(spark, monkeypatch):
+    """A row a text and length band moves, however long the texts and however alike they are."""
+    from lapidary.operators import near_texts as N
+
+    moved, write = [], N.write_blocks
+
+    def counted(*a):
+        out = write(*a)
+        moved.append((spark.read.parquet(out[0]).count(), out[1].count()))
+        return out
+
+    monkeypatch.setattr(N, "write_blocks", counted)
+    stock = "".join(chr(97 + i * i % 23) for i in range(400))
+    e = spark.createDataFrame([(i, f"{stock} {i:03d} {'x' * 60}") for i in range(40)], "id long, norm string")
+    t = spark.createDataFrame([(i, f"{stock} {i:03d} {'y' * 60 if i else 'x' * 60}") for i in range(80)], "id long, norm string")
+    assert D.near_pairs(e, t).count() == 40  # 46 edits: the first text is near to each
+    assert moved[0][0] == 40 and moved[0][1] <= 3 * 80
+
+
 def test_empty_tables(records):
     e = records([])
     assert S.split_document(e).count() == 0 and S.split_random(e).count() == 0 and K.cohort_ids(e, "c").count() == 0 and K.unique_ids(e).count() == 0
