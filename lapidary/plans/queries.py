@@ -227,8 +227,7 @@ def d1_dedup_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def d1_dedup_report(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "records").where(F.map_contains_key("fields", "translation_de"))
-    return D.dedup_report(D.dedup_flags(S.split_document(r), "translation_de"))
+    return D.dedup_report(D.dedup_flags(S.split_document(_translated(spark, d)), "translation_de"))
 
 
 @query

@@ -207,6 +207,21 @@ def test_near_pairs_move_texts_not_chunks(spark, monkeypatch):
     assert moved[0][0] == 40 and moved[0][1] <= 3 * 80
 
 
+def test_dedup_report_reads_one_field(spark, records, tmp_path, monkeypatch):
+    """What the query does not compare is left behind before the split; the report is that of the flags."""
+    from lapidary.plans import queries as Q
+
+    rows = [(i, "c", f"d{i}", {"translation_de": f"satz nummer {i % 30} mit genug zeichen darin", "text": "x" * 500}, {"dialect": "x"}) for i in range(60)]
+    records(rows).write.parquet(f"{tmp_path}/records.parquet")
+    seen, split = [], S.split_document
+    monkeypatch.setattr(S, "split_document", lambda r: seen.append(r) or split(r))
+    report = {r["part"]: r for r in Q.d1_dedup_report(spark, str(tmp_path)).collect()}
+    assert seen[0].columns == ["ord", "doc_id", "fields"] and {k for r in seen[0].collect() for k in r["fields"]} == {"translation_de"}
+    flags = Q.d1_dedup_flags(spark, str(tmp_path)).where("part <> 'train'").collect()
+    assert sum(r["checked"] for r in report.values()) == len(flags) > 0
+    assert sum(r["removed_near"] for r in report.values()) == sum(f["removed"] == "near" for f in flags)
+
+
 def test_empty_tables(records):
     e = records([])
     assert S.split_document(e).count() == 0 and S.split_random(e).count() == 0 and K.cohort_ids(e, "c").count() == 0 and K.unique_ids(e).count() == 0
