@@ -530,4 +530,4 @@ def m11_smoke(spark: SparkSession, d: str) -> DataFrame:
 def r17_glyph_strips(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic glyph strips of the signs of a record: how many windows they give and their ink."""
     s = table(spark, d, "records").where(field("hieroglyphs").isNotNull()).select("ord", T.extract_signs(field("hieroglyphs")).alias("signs"))
-    return A.rendered(s, "signs").select("ord", A.window_count(F.size(F.get("strip", F.lit(0)))).alias("n_windows"), F.round(A.ink_fraction(F.col("strip")), 9).alias("ink"))
+    return A.rendered_facts(s, "signs").select("ord", A.window_count(F.col("width")).alias("n_windows"), F.round("ink", 9).alias("ink"))

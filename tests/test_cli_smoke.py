@@ -100,3 +100,22 @@ def test_masks_and_glyphs(spark):
     assert (A.glyph("a") == A.glyph("a")).all() and (A.glyph("a") != A.glyph("b")).any() and A.glyph_strip([]).min() == 1
     df = spark.createDataFrame([(["a", "b", "c"],), ([],), (None,)], "s array<string>")
     assert [r[0] for r in A.rendered(df, "s").select(F.size(F.get("strip", F.lit(0)))).collect()][:2] == [72, 24]
+
+
+def test_strips_leave_in_small_batches(spark, monkeypatch):
+    """However many rows come at once; a strip above the limit goes alone.  What is measured in the worker equals what is measured of the strip."""
+    import pyarrow as pa
+
+    lists = [["a", "b"], [], None, ["c"] * 30, ["d"], ["e", "f", "g"]] * 200
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["i", "s"])
+    monkeypatch.setattr(A, "CELLS", 10 * 24 * 24)
+    out = list(A._drawn(iter([b]), 1, [0, 1], ["i", "s", "strip"]))
+    assert [x for o in out for x in o.column(0).to_pylist()] == list(range(len(lists)))
+    assert all(o.num_rows == 1 or len(o.column(2).flatten().flatten()) <= 10 * 24 * 24 for o in out)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists[:6])], "i int, s array<string>")
+    drawn = A.rendered(df, "s").select("i", F.size(F.get("strip", F.lit(0))).alias("width"), A.ink_fraction(F.col("strip")).alias("ink"))
+    want = {r["i"]: (r["width"], r["ink"]) for r in drawn.collect() if r["i"] != 2}
+    got = {r["i"]: (r["width"], r["ink"]) for r in A.rendered_facts(df, "s").collect()}
+    assert got.pop(2) == (None, None) and got == want and len(want) == 5
+    monkeypatch.setattr(A, "SIGNS", 7)
+    assert A._facts(lists[3]) == want[3]
