@@ -2,220 +2,27 @@
 
 An evaluation passage of length n is affected if some training text of its
 corpus is within k = n // 10 edits.  Exact copies are found by an equi-join on
-the normalised text.  For the rest, passages are cut into P disjoint pieces; each
-edit destroys at most one, so at least P - k survive unchanged in the training
-text, moved by k positions at most.  The pieces of a shard of passages form one
-Aho-Corasick automaton, which scans the training texts of that shard; matched
-intervals are merged to a coverage per passage, and a passage covered by no less
-than its P - k shortest pieces is verified by edit distance, in the worker.  A
-passage that has been found is not sought again there.
-
-Shards are (corpus, field, length band): a training text visits only the bands
-whose lengths are within reach.  A heavy shard is divided further.  Its passages
-are written in blocks of bounded size to the shared folder, a file each; its
-training texts move once, in chunks, and a task takes the blocks of its shard one
-after the other.  So no text is copied for a block nor a passage for a chunk: the
-rows that move are linear in the input, however the passages are divided.  The
-scans are not: each chunk is scanned by the automaton of each block of its shard.
+the normalised text, the rest by :mod:`lapidary.operators.near_texts`, in shards
+of (corpus, field, length band).
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
-import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_py
-from lapidary.session import shared_root, stage
+from lapidary.operators import near_texts as N
+from lapidary.operators.near_texts import Block, Pattern, needed_coverage, pieces  # noqa: F401
+from lapidary.session import stage
 
 FIELDS = ("translation_de", "text")
-BAND = 1.22  # ratio of neighbouring length bands: 1.1 / 0.9, so a text reaches two or three
-PASSAGES, TEXTS, CHARS = 8_000, 20_000, 4_000_000  # passages of an automaton; training texts of a chunk, and their characters
-WORK = 1_000_000  # postings that are held at a time
-
-
-def pieces(n: int) -> list[tuple[int, int]]:
-    """Disjoint pieces (start, end) of a passage of length n: k + 1, 2 or 3 of them."""
-    k = n // 10
-    p = min(n, k + (1 if n < 20 else 2 if n < 60 else 3))
-    cuts = [n * i // p for i in range(p + 1)]
-    return list(zip(cuts, cuts[1:]))
-
-
-def needed_coverage(n: int) -> int:
-    """Characters that stay covered when the k longest pieces are destroyed."""
-    lens = sorted(b - a for a, b in pieces(n))
-    return sum(lens[: len(lens) - n // 10])
-
-
-class Automaton:
-    """Pieces of the passages of one shard, and what each piece belongs to."""
-
-    def __init__(self, passages: list[str]) -> None:
-        self.passages = passages
-        ids: dict[str, int] = {}
-        at: list[list[tuple[int, int]]] = []
-        for i, t in enumerate(passages):
-            for a, b in pieces(len(t)):
-                w = t[a:b]
-                j = ids.setdefault(w, len(ids))
-                if j == len(at):
-                    at.append([])
-                at[j].append((i, a))
-        self.a = ahocorasick.Automaton()
-        for w, j in ids.items():
-            self.a.add_word(w, (j, len(w)))
-        self.a.make_automaton()
-        self.offset = np.zeros(len(at) + 1, np.int64)
-        self.offset[1:] = np.cumsum([len(x) for x in at])
-        flat = np.array([y for x in at for y in x], np.int64).reshape(-1, 2)
-        self.owner, self.start = flat[:, 0], flat[:, 1]
-        n = np.array([len(t) for t in passages], np.int64)
-        self.size, self.k, self.need = n, n // 10, np.array([needed_coverage(x) for x in n.tolist()], np.int64)
-
-    def candidates(self, texts: list[str], done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (text, passage not yet done) whose merged coverage suffices, in blocks of bounded work."""
-        hits = [(x, j, end - n + 1, n) for x, t in enumerate(texts) for end, (j, n) in self.a.iter(t)]
-        if not hits:
-            return
-        h = np.array(hits, np.int64)
-        lens = np.array([len(t) for t in texts], np.int64)
-        work = np.cumsum(self.offset[h[:, 1] + 1] - self.offset[h[:, 1]])
-        lo = 0
-        while lo < len(h):  # whole texts until their postings exceed WORK; a single text may exceed it
-            hi = np.searchsorted(work, (work[lo - 1] if lo else 0) + WORK, side="right")
-            hi = np.searchsorted(h[:, 0], h[min(max(hi, lo + 1), len(h) - 1), 0], side="left") if hi < len(h) else len(h)
-            if hi <= lo:
-                hi = int(np.searchsorted(h[:, 0], h[lo, 0], side="right"))
-            yield self._covered(h[lo:hi], lens, done)
-            lo = hi
-
-    def _covered(self, h: np.ndarray, lens: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        many = self.offset[h[:, 1] + 1] - self.offset[h[:, 1]]
-        row = np.repeat(np.arange(len(h)), many)
-        post = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.offset[h[row, 1]]
-        owner, start = self.owner[post], self.start[post]
-        ok = ~done[owner] & (np.abs(h[row, 2] - start) <= self.k[owner]) & (np.abs(lens[h[row, 0]] - self.size[owner]) <= self.k[owner])
-        row, owner, start = row[ok], owner[ok], start[ok]
-        # a piece counts once for a pair, however often it matched
-        order = np.lexsort((start, owner, h[row, 0]))
-        text, owner, start, size = h[row, 0][order], owner[order], start[order], h[row, 3][order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1]) | (start[1:] != start[:-1])
-        text, owner, size = text[new], owner[new], size[new]
-        pair = np.ones(len(text), bool)
-        pair[1:] = (text[1:] != text[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(pair)
-        cover = np.add.reduceat(size, first) if len(first) else size
-        text, owner = text[first], owner[first]
-        good = cover >= self.need[owner]
-        return text[good], owner[good]
-
-
-class Pattern:
-    """Edit distance to one passage, bit-parallel over the passage (Myers 1999)."""
-
-    def __init__(self, t: str) -> None:
-        self.n, self.at = len(t), {}
-        for i, c in enumerate(t):
-            self.at[c] = self.at.get(c, 0) | 1 << i
-
-    def within(self, t: str, k: int) -> bool:
-        n, at, score, left = self.n, self.at, self.n, len(t)
-        if abs(n - left) > k or not n:
-            return abs(n - left) <= k
-        full, last = (1 << n) - 1, 1 << (n - 1)
-        up, down = full, 0  # places where the column rises and falls
-        for c in t:
-            eq = at.get(c, 0)
-            diag = (((eq & up) + up) ^ up) | eq | down
-            rise, fall = down | (full & ~(diag | up)), up & diag
-            score += bool(rise & last) - bool(fall & last)
-            left -= 1
-            if score - left > k:
-                return False
-            rise, fall = rise << 1 | 1, fall << 1
-            up = (fall | ~((eq | down) | rise)) & full
-            down = rise & (eq | down) & full
-        return score <= k
-
-
-class Block:
-    """The passages of one file that are still sought."""
-
-    def __init__(self, passages: list[str], ids: list[bytes]) -> None:
-        self.passages, self.ids = passages, ids
-        self._index()
-
-    def _index(self) -> None:
-        self.auto, self.done, self.patterns = Automaton(self.passages), np.zeros(len(self.passages), bool), {}
-
-    def search(self, texts: list[str]) -> Iterator[bytes]:
-        """Digests of passages found in ``texts``, each once."""
-        if not self.passages:
-            return
-        for t, p in self.auto.candidates(texts, self.done):
-            for x, i in zip(t.tolist(), p.tolist()):
-                if self.done[i]:
-                    continue
-                pattern = self.patterns.get(i) or self.patterns.setdefault(i, Pattern(self.passages[i]))
-                if pattern.within(texts[x], len(self.passages[i]) // 10):
-                    self.done[i] = True
-                    yield self.ids[i]
-        if self.done.sum() * 2 > len(self.done) > 32:
-            left = np.flatnonzero(~self.done).tolist()
-            self.passages, self.ids = [self.passages[i] for i in left], [self.ids[i] for i in left]
-            self._index()
-
-
-def read_block(folder: str, number: int) -> Block:
-    """Block ``number`` of the folder ``write_blocks`` has written; any file system Arrow knows by its scheme."""
-    from pyarrow import fs, parquet
-
-    if folder.startswith("file:/") and not folder.startswith("file:///"):
-        folder = folder.replace("file:/", "file:///", 1)
-    system, path = fs.FileSystem.from_uri(f"{folder}/block={number}")
-    if system.get_file_info(path).type == fs.FileType.NotFound:  # no passage fell into it
-        return Block([], [])
-    t = parquet.read_table(path, filesystem=system, columns=["norm", "h"], partitioning=None)
-    return Block(t.column("norm").to_pylist(), t.column("h").to_pylist())
-
-
-def _scan(batches: Iterator[pa.RecordBatch], folder: str, plan: list[tuple[int, int, int]], most: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """(unit, text) sorted by unit -> digests of the passages found; ``plan`` has (first unit, first block, blocks) of each shard."""
-    first, unit, texts, chars, blocks = [p[0] for p in plan], None, [], 0, {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not texts:
-            return
-        _, block, n = plan[bisect_right(first, unit) - 1]
-        for i in range(block, block + n):
-            b = blocks.get(i)
-            if b is None:
-                b = read_block(folder, i)
-                blocks.clear()  # one automaton at a time
-                blocks[i] = b
-            found = [h for x in range(0, len(texts), 256) for h in b.search(texts[x : x + 256])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["h"])
-        texts.clear()
-
-    for b in batches:
-        for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if u != unit or len(texts) >= most[0] or chars >= most[1]:
-                yield from flush()
-                unit, chars = u, 0
-            texts.append(t)
-            chars += len(t)
-    yield from flush()
+PASSAGES, LETTERS, TEXTS, CHARS = N.PASSAGES, N.LETTERS, N.TEXTS, N.CHARS  # of a block and of a chunk
+SHARD = ["corpus", "field", "band"]
 
 
 def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,36 +36,9 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(norm, pa.string()), pa.array(h, pa.binary())], names=names).filter(keep)
 
 
-def _band(n):
-    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
-
-
-SHARD = ["corpus", "field", "band"]
-
-
 def write_blocks(passages: DataFrame, reach: DataFrame) -> tuple[str, DataFrame, list[tuple[int, int, int]]]:
-    """Blocks of passages as files, training texts as ``(unit, norm)`` rows, one a text and band, and the plan of both.
-
-    The plan has a row for each shard, corpora x fields x bands, which does not
-    grow with the rows.
-    """
-    spark = passages.sparkSession
-    ne = passages.groupBy(*SHARD).agg(F.count("*").alias("ne"))
-    nt = reach.groupBy(*SHARD).agg(F.count("*").alias("nt"), F.sum("n").alias("chars"))
-    rows, units, blocks = [], 0, 0
-    for s in sorted(ne.join(nt, SHARD).collect(), key=lambda s: (s.corpus, s.field, s.band)):
-        es, tc = -(-s.ne // PASSAGES), max(-(-s.nt // TEXTS), -(-s.chars // CHARS))
-        rows.append((s.corpus, s.field, s.band, es, tc, units, blocks))
-        units, blocks = units + tc, blocks + es
-    p = F.broadcast(spark.createDataFrame(rows, "corpus string, field string, band int, es int, tc int, unit int, block int"))
-    pick = lambda c: F.pmod(F.xxhash64("h"), F.col(c)).cast("int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = f"{shared_root(spark)}/blocks-{uuid.uuid4().hex[:8]}"
-    e = passages.join(p, SHARD).select((F.col("block") + pick("es")).alias("block"), "norm", "h")
-    e.repartition(max(n, min(blocks, 10_000)), "block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
-    t = reach.join(p, SHARD).select((F.col("unit") + pick("tc")).alias("unit"), "norm")
-    t = t.repartition(max(n, min(units, 100_000)), "unit").sortWithinPartitions("unit")
-    return folder, t, [(r[5], r[6], r[3]) for r in rows]
+    """Blocks of passages, chunks of training texts and the plan of both (corpora x fields x bands)."""
+    return N.write_blocks(passages, reach, SHARD, (PASSAGES, LETTERS, TEXTS, CHARS))
 
 
 def affected(records: DataFrame, parts: DataFrame, fields: tuple[str, ...] = FIELDS, train: str = "train") -> DataFrame:
@@ -280,12 +60,8 @@ def affected(records: DataFrame, parts: DataFrame, fields: tuple[str, ...] = FIE
         norm.groupBy("corpus", "field", "h").agg(F.first("norm").alias("norm"), F.max(is_train).alias("tr"), F.max(~is_train).alias("ev")).withColumn("n", F.length("norm")), "texts"
     )
     exact = texts.where("tr and ev").select("h")
-    passages = texts.where("ev and not tr and n >= 10").withColumn("band", _band(F.col("n")))
-    lo, hi = F.ceil(F.col("n") * 10 / 11), F.floor(F.col("n") * 10 / 9)
-    reach = texts.where("tr").withColumn("band", F.explode(F.sequence(_band(F.greatest(lo, F.lit(10))), _band(F.greatest(hi, F.lit(10))))))
-    folder, t, plan = write_blocks(passages, reach)
-    most = (TEXTS, CHARS)
-    found = t.mapInArrow(lambda it: _scan(it, folder, plan, most), "h binary").distinct()
+    passages = texts.where("ev and not tr and n >= 10").withColumn("band", N.band(F.col("n")))
+    found = N.near(passages, N.reaching(texts.where("tr"), 0.1, 10), SHARD, 0.1, (PASSAGES, LETTERS, TEXTS, CHARS))
     return norm.where(~is_train).join(exact.unionByName(found), "h", "left_semi").select("field", "ord", "part", "corpus").distinct()
 
 

@@ -4,12 +4,14 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_py
 from lapidary.llm import cross_split, lookalike, near_dup, splits, term_counts
 from lapidary.llm.components import connected_components
+from lapidary.operators import near_texts
 
 LONG = "wort " * 40_000
 
@@ -264,6 +266,23 @@ def test_found_passages_are_not_sought_again():
     assert list(block.search(["x" * 30 + "001"])) == []
 
 
+def test_pieces_meet_only_in_their_place(monkeypatch):
+    """A phrase that every passage has somewhere is met only where it stands within k places; a block holds all of them."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    phrase, met = word(30), []
+    passages = [word(a) + phrase + word(170 - a) for a in range(0, 170, 2)]
+    text = passages[40][:60] + "x" + passages[40][60:]
+    index = near_texts.Index(passages, 0.1)
+    covered = near_texts.Index._covered
+    monkeypatch.setattr(near_texts.Index, "_covered", lambda self, t, text, place, first, many, done: met.append((len(text), many.sum())) or covered(self, t, text, place, first, many, done))
+    got = [(x, y) for t, p in index.candidates([text], np.zeros(len(passages), bool)) for x, y in zip(t.tolist(), p.tolist())]
+    assert got == [(0, 40)]
+    # the phrase has 2 pieces or more of 9 or 8 characters in each of the 85 passages, of which a fifth stand near
+    assert 0 < sum(m for _, m in met) < 85 * 2
+    assert cross_split.PASSAGES >= 50_000
+
+
 def test_pieces():
     for n in range(10, 700):
         p = cross_split.pieces(n)
