@@ -12,8 +12,11 @@ less the words of one value that fell on one position.  Bytes are ordered by how
 many values hold them (a fixed-size table of counts; any order is correct, a good
 one is fast).  Of two values that share s bytes or more, the s-2 most frequent
 may be left out: at least two shared bytes stand in the prefixes, so the index is
-probed by *pairs* of prefix bytes.  Pairs found are tallied over all their bytes,
-those that reach the guaranteed minimum are verified on 64-bit word fingerprints.
+probed by *pairs* of prefix bytes.  Every entry carries a signature, the parity of
+the words on each of 64 bits; pairs whose signatures differ in more bits than
+similar sets differ in words are dropped where they are met, so few are listed but
+the similar ones, however many values share a key.  Those left are tallied over all
+their bytes, those that reach the guaranteed minimum are verified on 64-bit word fingerprints.
 
 A pair of bytes that more than ``crowd`` values hold (a stock phrase) is not
 paired: its values go on with a third byte, of the longer prefix in which three
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.functions.text import normalize_py
-from lapidary.session import stage
+from lapidary.session import release, stage
 
 FIELDS = ("translation_de", "transliteration")
 COUNTS = 1 << 20  # cells of the table that orders the bytes; fixed, whatever the data
@@ -91,12 +94,23 @@ def _order(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (counts[byte & (COUNTS - 1)] << 32) | byte
 
 
+def _signature(words: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """64 bits a value, each the parity of the words on it: one word more or less changes one bit."""
+    bit = np.uint64(1) << (words.view(np.uint64) & np.uint64(63))
+    out = np.zeros(len(off) - 1, np.uint64)
+    some = np.flatnonzero(off[1:] > off[:-1])
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(bit, off[some])
+    return out.view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) -> Iterator[pa.RecordBatch]:
-    """(rep, words) -> (key, rep, n): pairs of prefix bytes; values with a guarantee below two also give single bytes."""
+    """(rep, words) -> (key, rep, n, sig): pairs of prefix bytes; values with a guarantee below two also give single bytes."""
     for b in batches:
-        keys, reps, sizes = [], [], []
+        keys, reps, sizes, sigs = [], [], [], []
         rep, col = b.column(0).to_numpy(), b.column(1)
-        off, order = col.offsets.to_numpy(), _order(col.values.to_numpy(zero_copy_only=False), counts)
+        off, words = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+        order, sig = _order(words, counts), _signature(words, off)
         for i in range(len(rep)):
             own = order[off[i] : off[i + 1]]
             p, least = _prefix(own, len(own), t, 2)
@@ -107,8 +121,9 @@ def _keys(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction) ->
             keys.append(k)
             reps.append(np.full(len(k), rep[i]))
             sizes.append(np.full(len(k), len(own), np.int32))
-        z = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, reps, sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32))], names=["key", "rep", "n"])
+            sigs.append(np.full(len(k), sig[i]))
+        z = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, reps, sizes, sigs)]
+        yield pa.RecordBatch.from_arrays([pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32)), pa.array(z[3].astype(np.int64))], names=["key", "rep", "n", "sig"])
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -124,9 +139,10 @@ def _extended(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction
     guarantee is below ``level`` bytes stay under their key as well.
     """
     for b in batches:
-        keys, reps, sizes, use = [], [], [], []
+        keys, reps, sizes, sigs, use = [], [], [], [], []
         key, rep, size, used, col = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist(), b.column(4)
-        off, order = col.offsets.to_numpy(), _order(col.values.to_numpy(zero_copy_only=False), counts)
+        off, words = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+        order, sig = _order(words, counts), _signature(words, off)
         for i in range(len(rep)):
             own = order[off[i] : off[i + 1]]
             p, least = _prefix(own, len(own), t, level)
@@ -140,16 +156,22 @@ def _extended(batches: Iterator[pa.RecordBatch], counts: np.ndarray, t: Fraction
             keys.append(k)
             reps.append(np.full(len(k), rep[i]))
             sizes.append(np.full(len(k), size[i], np.int32))
-        z = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, reps, sizes)]
+            sigs.append(np.full(len(k), sig[i]))
+        z = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, reps, sizes, sigs)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32)), pa.array(use, pa.list_(pa.int64()))], names=["key", "rep", "n", "used"]
+            [pa.array(z[0].astype(np.int64)), pa.array(z[1].astype(np.int64)), pa.array(z[2].astype(np.int32)), pa.array(z[3].astype(np.int64)), pa.array(use, pa.list_(pa.int64()))],
+            names=["key", "rep", "n", "sig", "used"],
         )
 
 
 def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key -> pairs (a, b) of one key and field whose sizes can be similar; rows of crowded keys come out as (rep, -1, key, n)."""
+    """Rows (key, rep, n, sig) sorted by key -> pairs (a, b) of one key and field whose sizes and signatures can be similar; rows of crowded keys come out as (rep, -1, key, n).
+
+    Similar sets of a and b words differ in at most a + b - 2 s words, s being
+    what they share at least, and their signatures in no more bits.
+    """
 
-    def pairs(k: np.ndarray, r: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(k: np.ndarray, r: np.ndarray, n: np.ndarray, sig: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         d, at = 1, np.arange(len(k))
         while True:
             at = at[at + d < len(k)]
@@ -159,6 +181,9 @@ def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: i
             x, y = r[at], r[at + d]
             lo, hi = np.minimum(n[at], n[at + d]).astype(np.int64), np.maximum(n[at], n[at + d]).astype(np.int64)
             ok = (x != y) & ((x - y) % fields == 0) & (lo * t.denominator >= hi * t.numerator)
+            if sig is not None:
+                most = (lo + hi) + 2 * (-(lo + hi) * t.numerator // (t.numerator + t.denominator))
+                ok &= np.bitwise_count((sig[at] ^ sig[at + d]).view(np.uint64)) <= most
             if ok.any():
                 x, y = x[ok], y[ok]
                 yield out(np.minimum(x, y), np.maximum(x, y), np.zeros(len(x), np.int64), np.zeros(len(x), np.int32))
@@ -167,14 +192,14 @@ def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: i
     def out(a, b, k, n):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(k), pa.array(n.astype(np.int32))], names=["a", "b", "key", "n"])
 
-    def run(k: np.ndarray, r: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def run(k: np.ndarray, r: np.ndarray, n: np.ndarray, *sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         if crowd:
             _, inv, many = np.unique(k, return_inverse=True, return_counts=True)
             hot = many[inv] > crowd
             if hot.any():
                 yield out(r[hot], np.full(hot.sum(), -1, np.int64), k[hot], n[hot])
-                k, r, n = k[~hot], r[~hot], n[~hot]
-        yield from pairs(k, r, n)
+                k, r, n, *sig = (x[~hot] for x in (k, r, n, *sig))
+        yield from pairs(k, r, n, *sig)
 
     def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         return [np.concatenate(x) for x in zip(*parts)] if len(parts) > 1 else parts[0]
@@ -182,7 +207,7 @@ def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: i
     held: list[list[np.ndarray]] = []  # rows of the last key, which may go on in the next batch
     crowded = None  # a key that has passed the limit: its further rows go straight on
     for b in batches:
-        cur = [b.column(i).to_numpy() for i in range(3)]
+        cur = [c.to_numpy() for c in b.columns]
         if not len(cur[0]):
             continue
         if crowded is not None:
@@ -201,7 +226,7 @@ def _tally(batches: Iterator[pa.RecordBatch], t: Fraction, fields: int, crowd: i
             yield from run(*[x[:last] for x in cur])
             held = [[x[last:] for x in cur]]
         if crowd and sum(len(x[0]) for x in held) > crowd:
-            k, r, n = joined(held)
+            k, r, n = joined(held)[:3]
             yield out(r, np.full(len(r), -1, np.int64), k, n)
             crowded, held = k[0], []
     if held:
@@ -242,25 +267,27 @@ def similar_classes(cl: DataFrame, threshold: str = "0.7", fields: int = len(FIE
         rows = keys.repartition("key").sortWithinPartitions("key")
         return rows.mapInArrow(lambda it: _tally(it, t, fields, limit), "a long, b long, key long, n int")
 
-    keys = cl.select("rep", "words").mapInArrow(lambda it: _keys(it, shared.value.astype(np.int64), t), "key long, rep long, n int")
+    keys = cl.select("rep", "words").mapInArrow(lambda it: _keys(it, shared.value.astype(np.int64), t), "key long, rep long, n int, sig long")
     found = stage(pairs_of(keys, crowd), "tally")
     cand = found.where("b <> -1").select("a", "b")
     byte = lambda shift: F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(0xFFFFFFFF))
     hot = found.where("b = -1").select("key", F.col("a").alias("rep"), "n", F.array(byte(32), byte(0)).alias("used"))
-    form = "key long, rep long, n int, used array<long>"
+    form = "key long, rep long, n int, sig long, used array<long>"
     for level in range(3, LEVELS + 1):
         if hot.isEmpty():
             break
         longer = stage(hot.join(cl, "rep").select("key", "rep", "n", "used", "words").mapInArrow(lambda it, level=level: _extended(it, shared.value.astype(np.int64), t, level), form), "longer")
-        found = stage(pairs_of(longer.select("key", "rep", "n"), crowd), "tally")
+        found = stage(pairs_of(longer.select("key", "rep", "n", "sig"), crowd), "tally")
         cand = cand.unionByName(found.where("b <> -1").select("a", "b"))
         rows = found.where("b = -1").select("key", F.col("a").alias("rep"), "n").distinct()
         used = longer.join(rows.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("used").alias("used"))
         hot = stage(rows.join(used, "key"), "crowded")
+        release(longer)
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / crowd).cast("int").alias("blocks"))
     own, other = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    hot = hot.join(blocks, "key").select("key", "rep", "n", own.alias("own"), other.alias("other"))
-    units = hot.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "n")
+    sig = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    hot = hot.join(blocks, "key").join(cl.select("rep", sig.alias("sig")), "rep").select("key", "rep", "n", "sig", own.alias("own"), other.alias("other"))
+    units = hot.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", "n", "sig")
     cand = cand.unionByName(pairs_of(units, None).select("a", "b")).distinct()
     both = cand.join(cl.select(F.col("rep").alias("a"), F.col("words").alias("wa")), "a").join(cl.select(F.col("rep").alias("b"), F.col("words").alias("wb")), "b")
     common, total = F.size(F.array_intersect("wa", "wb")), F.size("wa") + F.size("wb")

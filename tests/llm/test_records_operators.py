@@ -349,6 +349,24 @@ def test_crowded_keys_are_divided(records):
         assert {tuple(r) for r in near_dup.similar_classes(cl, crowd=crowd).collect()} == want and want
 
 
+def test_pairs_that_differ_too_much_are_not_listed():
+    """Values that share a key and nothing else do not leave the worker; similar ones all do."""
+    import pyarrow as pa
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    t, base = Fraction("0.7"), rng.integers(-(2**62), 2**62, (40, 12))
+    sets = [np.unique(np.concatenate([b[:10], [b[10 + i]]])) for b in base for i in (0, 1)] + [np.unique(b[:n]) for b in base for n in (9, 12)]
+    off = np.cumsum([0, *map(len, sets)])
+    sig = near_dup._signature(np.concatenate(sets), off)
+    n, reps = np.diff(off), np.arange(len(sets)) * 2
+    b = pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), 7)), pa.array(reps), pa.array(n.astype(np.int32)), pa.array(sig)], names=["key", "rep", "n", "sig"])
+    got = {(x // 2, y // 2) for o in near_dup._tally(iter([b]), t, 2, None) for x, y in zip(o["a"].to_pylist(), o["b"].to_pylist())}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 7 * len(np.union1d(sets[i], sets[j]))}
+    assert near <= got and len(near) > 100 and len(got) < len(near) + 50  # of 12,720 pairs
+    assert near_dup._signature(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == [0, 0]
+
+
 def test_tally_over_batches():
     """Runs of a key across batches of any size; crowded keys come out as rows."""
     import numpy as np
